@@ -1,4 +1,4 @@
-"""Token counts by section, with tokens attributed by their character spans.
+"""Token counts by section, with tokens attributed by their spans.
 
 Each document is encoded once, whole.  Its sections are its lines (a line with
 its closing newline), as half-open ranges of the text's UTF-8; token spans are
@@ -42,7 +42,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tk.PieceTokenizer(path, offsets=True)
+        encoder = tk.PieceTokenizer.shared(path)
         for b in batches:
             for lo, hi, data, offs in tx.slabs(b.column(1)):
                 ids, first = encoder.encode_slab(data, offs)
