@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, licenses, packing, secrets, token_counts
+from . import chat, decontaminate, fingerprints, jaccard_join, licenses, packing, pii, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,23 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.find_pii(_table(spark, sf_dir, "documents"))
+    count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in pii.KINDS}
+    rank = F.create_map(*[F.lit(x) for k, name in enumerate(pii.KINDS) for x in (name, k)])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    ranked = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"], s["end"], s["kind"])))
+    return d.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(ranked).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(_table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -41,10 +54,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_turns(chat.canonical_turns(rows)))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", F.size("spans").cast("bigint").alias("n_spans"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_licenses, op4_packing, op6_token_counts, op7_decontamination, op10_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fingerprints, op2_licenses, op3_pii, op4_packing, op5_jaccard_join,
+        op6_token_counts, op7_decontamination, op8_chat, op9_toxicity, op10_secrets,
+    )
+}
 
 ORACLE = {"op1_fingerprints": fingerprints.ORACLE}
