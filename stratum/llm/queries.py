@@ -22,11 +22,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.find_pii(_table(spark, sf_dir, "documents"))
-    count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in pii.KINDS}
+    counts = [F.expr(f"bigint(size(filter(base, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
     rank = F.create_map(*[F.lit(x) for k, name in enumerate(pii.KINDS) for x in (name, k)])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     ranked = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"], s["end"], s["kind"])))
-    return d.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(ranked).alias("spans"))
+    return d.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(ranked).alias("spans"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
