@@ -55,10 +55,10 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     own = own.withColumn("cell", F.shiftright(key, CELL_BITS))
     order = Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     ahead = own.withColumn("ahead", F.lead("text").over(order))
-    mins = own.groupBy("cell").agg(F.min(key).alias("first_key"))
-    heads = own.withColumn("first_key", key).join(mins, ["cell", "first_key"]).groupBy("cell").agg(F.min("text").alias("head"))
+    # the first row of each cell, combined before it is shuffled
+    heads = own.groupBy("cell").agg(F.min(F.struct(key.alias("first_key"), "text")).alias("h")).select("cell", F.col("h.text").alias("head"))
     first_cell = low >> CELL_BITS
-    nexts = _successors(mins.select("cell"), first_cell, high >> CELL_BITS).withColumn("next_cell", F.coalesce("next_cell", F.lit(first_cell)))
+    nexts = _successors(own.select("cell").distinct(), first_cell, high >> CELL_BITS).withColumn("next_cell", F.coalesce("next_cell", F.lit(first_cell)))
     jump = nexts.join(heads.withColumnRenamed("cell", "next_cell"), "next_cell").select("cell", "head")
     return ahead.join(jump, "cell", "left").select("doc_id", "text", F.coalesce("ahead", "head").alias("next_text"))
 
