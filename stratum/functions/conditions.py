@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import render
+from .values import render, strip
 
 # The operators.
 OPS = ("is", "is-not", "contains", "not-contains", "non-empty", "empty", "exists", "missing", "gt", "gte", "lt", "lte")
@@ -32,7 +32,7 @@ class Cond:
         raw = F.col(f"`{self.field}`") if there else F.lit(None).cast("string")
         text = render(raw, kind)
         if self.op in ("empty", "non-empty"):
-            empty = F.coalesce(F.size(raw) <= 0, F.lit(True)) if isinstance(kind, (T.ArrayType, T.MapType)) else F.trim(text) == ""
+            empty = F.coalesce(F.size(raw) <= 0, F.lit(True)) if isinstance(kind, (T.ArrayType, T.MapType)) else strip(text) == ""
             return empty if self.op == "empty" else ~empty
         if self.op in ("is", "is-not"):
             same = text == F.lit(self.value)

@@ -78,6 +78,11 @@ def estimate_tokens(text: Column) -> Column:
     return F.floor(F.octet_length(text) / 4).cast("bigint") + 1
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def stable_id(prefix: str, *cols: Column) -> Column:
     """An id from content, the same in every run."""
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("\x1f", *cols).cast("binary"), 256), 1, 16))

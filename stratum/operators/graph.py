@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import strip
 from ..storage import materialize
 
 MESSAGE = "to string, from string, body string, rank double"
@@ -175,9 +176,9 @@ def refine(records: DataFrame, step: Callable[[DataFrame, int], DataFrame], *, a
             break
         out.rounds.append(Round(number, active=open_.count()))
         got = materialize(step(open_, number))
-        more = (~F.coalesce(F.expr(accept), F.lit(False))) & (F.trim(F.coalesce(F.col(note).cast("string"), F.lit(""))) != "")
+        more = (~F.coalesce(F.expr(accept), F.lit(False))) & (strip(F.coalesce(F.col(note).cast("string"), F.lit(""))) != "")
         done.append(got.where(~more).select(*names))
-        one = F.array(F.trim(F.col(note).cast("string")))
+        one = F.array(strip(F.col(note).cast("string")))
         open_ = got.where(more).withColumn("Inbox", F.concat("Inbox", one) if carry else one).select(*names, "Inbox")
         number += 1
     whole = done[0] if done else records

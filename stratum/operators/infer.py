@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.templates import compile_template
-from ..functions.values import estimate_tokens
+from ..functions.values import estimate_tokens, strip
 from ..plans.models import PERMANENT, SEMANTIC, Binding, Model, Pricing, Registry, usage_columns
 from ..storage import materialize
 
@@ -74,7 +74,7 @@ def answer_instruction(answers: tuple[Answer, ...]) -> str:
 
 def answers_filled(answers: tuple[Answer, ...]) -> Column:
     """Whether all required answers are filled."""
-    conds = [F.coalesce(F.size(a.name) > 0 if a.kind == "list" else F.trim(a.name) != "", F.lit(False)) for a in answers if a.required]
+    conds = [F.coalesce(F.size(a.name) > 0 if a.kind == "list" else strip(F.col(a.name)) != "", F.lit(False)) for a in answers if a.required]
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
@@ -115,7 +115,7 @@ def _attempt(df: DataFrame, spec: InferSpec, model: Model) -> DataFrame:
     if model.answer is None:
         d = materialize(d)  # a called model answers once, whatever reads it
     if spec.schema is None:
-        d = d.withColumn(spec.output, F.trim("__response"))
+        d = d.withColumn(spec.output, strip(F.col("__response")))
         parsed = F.col("__response").isNotNull()
     else:
         d = d.withColumn("__parsed", parse_json(F.col("__response"), spec.schema))
@@ -135,11 +135,13 @@ def infer(df: DataFrame, spec: InferSpec, registry: Registry, *, id_col: str = "
     own = df.columns
     todo = df.withColumn("__rung", F.coalesce(start_rung, F.lit(0)) if start_rung is not None else F.lit(0))
     done, attempts, failed = [], [], []
+    live = {0} if start_rung is None else set(range(len(ladder)))
     for attempt in range(1, max_attempts + 1):
-        left = []
-        for rung, model in enumerate(ladder):
-            if start_rung is None and rung != min(attempt - 1, len(ladder) - 1):
-                continue
+        left, following = [], set()
+        for rung in sorted(live):
+            model = ladder[rung]
+            # only called models fail transiently, which leaves a record on its rung
+            following |= {min(rung + 1, len(ladder) - 1)} | ({rung} if model.answer is None else set())
             part = todo.where(F.col("__rung") == rung).drop("__rung")
             got = _attempt(part, spec, model)
             if spec.binding.escalate or max_attempts > 1:
@@ -157,7 +159,7 @@ def infer(df: DataFrame, spec: InferSpec, registry: Registry, *, id_col: str = "
                 left.append(again.withColumn("__next", climbs).select(*own, F.col("__next").alias("__rung")))
         if not left:
             break
-        todo = reduce(DataFrame.unionByName, left)
+        todo, live = reduce(DataFrame.unionByName, left), following
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     return Inferred(union(done), union(attempts), union(failed))
 

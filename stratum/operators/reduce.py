@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import strip
 from ..plans.models import Model, usage_columns
 from ..storage import materialize
 
@@ -61,7 +62,7 @@ def reduce_ai(df: DataFrame, model: Model, prompt: Callable[[Column], Column], *
         usage = usage_columns(F.col("__prompt"), F.col("__answer"), model.pricing)
         made = called.select(F.col("__key").alias("key"), F.lit(level).alias("level"), F.col("__group").alias("group"), F.col("__size").alias("n_items"), *[c.alias(n) for n, c in usage.items()])
         calls = made if calls is None else calls.unionByName(made)
-        cur = called.select("__key", F.col("__group").alias("__seq"), F.trim("__answer").alias("__item"), "__size")
+        cur = called.select("__key", F.col("__group").alias("__seq"), strip(F.col("__answer")).alias("__item"), "__size")
         if alone is not None:
             cur = cur.unionByName(alone)
     out = cur.select(*([F.col("__key").alias(key)] if key else []), F.concat(F.lit("agg_"), F.substring(F.sha2(F.concat_ws("|", "__key", "__item").cast("binary"), 256), 1, 16)).alias("id"), F.col("__item").alias(output), F.col("__size").alias("aggregated"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .reduce import nearest_rank
 
@@ -97,7 +98,7 @@ class Tools:
             envelope.tool(name)
         tools, names = dict(self.tools), df.columns
         a, b = names.index(name_col), names.index(args_col)
-        schema = df.schema.add(out, "string").add(f"{out}_error", "string")
+        schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in (out, f"{out}_error"))])
 
         def run(batches):
             for batch in batches:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import estimate_tokens
 
@@ -79,7 +80,7 @@ class Model:
         if self.answer is not None:
             return df.withColumns({out_col: self.answer(F.col(prompt_col)), f"{out_col}_error": F.lit(None).cast("string"), f"{out_col}_class": F.lit(None).cast("string")})
         call, at, names = self.call, df.columns.index(prompt_col), df.columns
-        schema = df.schema.add(out_col, "string").add(f"{out_col}_error", "string").add(f"{out_col}_class", "string")
+        schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in (out_col, f"{out_col}_error", f"{out_col}_class"))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import with_seq
+
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, *, bad: str = "skip", stream: bool = False) -> DataFrame:
     """JSON lines with id, from the object's own id, else file:position; bad lines are skipped (and counted by `bad_lines`) or fail the read."""
@@ -42,7 +44,7 @@ def folder_records(spark: SparkSession, path: str, glob: str = "*", *, since: st
     """
     from ..functions.templates import compile_template, fields
 
-    raw = spark.read.option("wholetext", True).text(f"{path}/*/{glob}").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.text(f"{path}/*/{glob}", wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     parts = F.split("path", "/")
     d = raw.withColumns({"group": F.url_decode(F.element_at(parts, -2)), "file": F.url_decode(F.element_at(parts, -1))})
     d = d.withColumn("name", F.regexp_replace("file", r"\.[^.]*$", "")).drop("file")
@@ -53,13 +55,13 @@ def folder_records(spark: SparkSession, path: str, glob: str = "*", *, since: st
     if line is not None:
         names = sorted(fields(line))
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
+        lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"\S"))
         d = d.withColumn("__l", F.transform(lines, lambda s: F.from_json(s, schema)))
         shown = F.transform("__l", lambda x: compile_template(line, schema, column=lambda n: x[n]))
         d = d.withColumn("text", F.array_join(shown, "\n")).withColumn("count", F.size("__l").cast("bigint")).drop("__l")
     else:
-        d = d.withColumn("count", F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")).cast("bigint"))
-    return d.where("trim(text) <> ''").withColumn("id", F.concat_ws("/", "group", "name")).select("id", "group", "name", "text", "count", "path")
+        d = d.withColumn("count", F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike(r"\S"))).cast("bigint"))
+    return d.where(F.col("text").rlike(r"\S")).withColumn("id", F.concat_ws("/", "group", "name")).select("id", "group", "name", "text", "count", "path")
 
 
 def table_records(spark: SparkSession, path: str, form: str) -> DataFrame:
@@ -68,9 +70,12 @@ def table_records(spark: SparkSession, path: str, form: str) -> DataFrame:
         df = spark.read.option("header", True).option("sep", "," if form == "csv" else "\t").option("mode", "PERMISSIVE").csv(path)
     else:
         df = spark.read.option("mode", "FAILFAST").json(path)
+    # read order as a contiguous number; it has to be a column of its own, else it counts only the rows that need it
+    columns = df.columns
+    df = with_seq(df.withColumn("__at", F.monotonically_increasing_id()), "__at", name="__row")
     # names of a case-sensitive source stay apart
-    named = [F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for want in ("id", "ID", "key", "name") for c in df.columns if c == want]
-    fallback = F.concat(F.lit("row-"), (F.monotonically_increasing_id() + 1).cast("string"))
+    named = [F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for want in ("id", "ID", "key", "name") for c in columns if c == want]
+    fallback = F.concat(F.lit("row-"), (F.col("__row") + 1).cast("string"))
     ids = F.coalesce(*named, fallback)
-    keep = [c for c in df.columns if c.lower() != "id"]
+    keep = [c for c in columns if c.lower() != "id"]
     return df.select(ids.alias("id"), *[F.col(f"`{c}`") for c in keep])
