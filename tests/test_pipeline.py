@@ -229,3 +229,18 @@ def test_document(spark, tmp_path):
     for bad in ([{"id": "x", "kind": "keep", "after": "x"}], [{"id": "x", "kind": "keep"}], [{"id": "x", "kind": "what", "after": "in"}], [{"id": "in", "kind": "source"}]):
         with pytest.raises((DocumentError, KeyError)):
             Document("b", DOC["steps"][:1] + bad).validate()
+
+
+def test_fleet(spark, tmp_path):
+    from stratum.plans.fleet import Board, Fleet
+
+    board = Board(spark, str(tmp_path / "board"))
+    fleet = Fleet(spark, board)
+    fleet.add("writer", lambda s, b: b.post("news", "writer", {"n": s.range(5).count()}))
+    fleet.add("reader", lambda s, b: b.wait("news", 1))
+    fleet.add("broken", lambda s, b: 1 / 0)
+    out, reports = fleet.run()
+    assert out["reader"] == [{"n": 5}] and [r.error[:17] for r in reports] == ["", "", "ZeroDivisionError"]
+    board.post("news", "again", {"n": 5})
+    assert board.posts("news").count() == 1
+    assert fleet.bus.frame(spark).where("kind = 'agent-end'").count() == 3
