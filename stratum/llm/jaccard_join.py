@@ -55,7 +55,7 @@ FLUSH = 4_000_000
 #: Ids that are sent to all tasks at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
-_BLOB = "bucket int, kind int, ids binary, counts binary, tokens binary"
+_BLOB = "bucket int, kind int, ids binary, sizes binary, counts binary, tokens binary"
 _SIZE_BLOCK = math.log(4 / 3)
 
 
@@ -86,21 +86,23 @@ class _Sender:
     def __init__(self, buckets: int, narrow: bool):
         self.buckets, self.narrow = buckets, narrow
         self.ids: list[int] = []
+        self.sizes: list[int] = []
         self.sets: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id: int, tokens: np.ndarray) -> None:
+    def add(self, doc_id: int, size: int, tokens: np.ndarray) -> None:
         if len(tokens):
             self.ids.append(doc_id)
+            self.sizes.append(size)
             self.sets.append(tokens)
             self.size += len(tokens)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        ids, tokens = np.array(self.ids, np.int64), np.concatenate(self.sets)
+        ids, sizes, tokens = np.array(self.ids, np.int64), np.array(self.sizes, np.uint32), np.concatenate(self.sets)
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in self.sets])
-        self.ids, self.sets, self.size = [], [], 0
+        self.ids, self.sizes, self.sets, self.size = [], [], [], 0
         bucket = (tokens % np.uint64(self.buckets)).astype(np.uint16 if self.buckets <= 65536 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         if self.narrow:
@@ -116,8 +118,8 @@ class _Sender:
             at = np.flatnonzero(first)
             places = np.diff(np.append(at, len(d))).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k, k], pa.int32()), pa.array([0, 1], pa.int32()), pa.array([b"", ids[d[at]].tobytes()], pa.binary()), pa.array([many.astype(np.uint32).tobytes(), places.tobytes()], pa.binary()), pa.array([value.tobytes(), t.tobytes()], pa.binary())],
-                ["bucket", "kind", "ids", "counts", "tokens"],
+                [pa.array([k, k], pa.int32()), pa.array([0, 1], pa.int32()), pa.array([b"", ids[d[at]].tobytes()], pa.binary()), pa.array([b"", sizes[d[at]].tobytes()], pa.binary()), pa.array([many.astype(np.uint32).tobytes(), places.tobytes()], pa.binary()), pa.array([value.tobytes(), t.tobytes()], pa.binary())],
+                ["bucket", "kind", "ids", "sizes", "counts", "tokens"],
             )
 
 
@@ -129,13 +131,13 @@ def _sum_by(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _received(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
-    """(ids, places per id, shingles, frequencies) of each places row; 0 for shingles that only one document has."""
+    """(ids, set sizes, places per id, shingles, frequencies) of each places row; 0 for shingles that only one document has."""
     at, parts, known, df = -1, [], None, None
     for b in batches:
         for k in range(b.num_rows):
             bucket, what = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-            counts = np.frombuffer(b.column(3)[k].as_buffer(), np.uint32)
-            tokens = np.frombuffer(b.column(4)[k].as_buffer(), kind)
+            counts = np.frombuffer(b.column(4)[k].as_buffer(), np.uint32)
+            tokens = np.frombuffer(b.column(5)[k].as_buffer(), kind)
             if bucket != at:
                 at, parts, known = bucket, [], None
             if what == 0:
@@ -146,14 +148,55 @@ def _received(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
                 known, df, parts = known[df > 1], df[df > 1], []
             place = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
             have = known[place] == tokens if len(known) else np.zeros(len(tokens), bool)
-            yield np.frombuffer(b.column(2)[k].as_buffer(), np.int64), counts.astype(np.int64), tokens, np.where(have, df[place], 0) if len(known) else np.zeros(len(tokens), np.int64)
+            yield np.frombuffer(b.column(2)[k].as_buffer(), np.int64), np.frombuffer(b.column(3)[k].as_buffer(), np.uint32), counts.astype(np.int64), tokens, np.where(have, df[place], 0) if len(known) else np.zeros(len(tokens), np.int64)
 
 
 def _dealt(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def _prefiltered(own: DataFrame, sigs: DataFrame, total: int, width: int) -> DataFrame:
+class _Returner:
+    """Gathers what a bucket's task found for each id, and gives it as one row per part of the ids."""
+
+    schema = "part int, ids binary, sizes binary, counts binary, keys binary"
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.size = parts, [], 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray | None = None) -> None:
+        some = counts > 0
+        self.held.append((ids[some], sizes[some], counts[some], keys if keys is not None else np.zeros(0, np.int64)))
+        self.size += len(ids) + len(self.held[-1][3])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        ids, sizes, counts, keys = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        part = (tx.mix(ids.view(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+        if len(keys):
+            own = np.repeat(part, counts)
+            keys = keys[np.argsort(own, kind="stable")]
+            upto = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=self.parts))])
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            at = order[edges[p] : edges[p + 1]]
+            cells = [ids[at], sizes[at].astype(np.uint32), counts[at].astype(np.uint32), keys[upto[p] : upto[p + 1]] if len(keys) else keys]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "ids", "sizes", "counts", "keys"])
+
+
+def _returned(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """Everything that one task gets back: ids, sizes, counts, keys."""
+    cols: list[list[np.ndarray]] = [[], [], [], []]
+    for b in batches:
+        for k in range(b.num_rows):
+            for c, kind in enumerate((np.int64, np.uint32, np.uint32, np.int64)):
+                cols[c].append(np.frombuffer(b.column(c + 1)[k].as_buffer(), kind))
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
+
+
+def _prefiltered(own: DataFrame, total: int, width: int) -> DataFrame:
     """Ids that the prefilter leaves."""
     buckets = max(4, -(-total // (3 * BUCKET)))
 
@@ -163,26 +206,33 @@ def _prefiltered(own: DataFrame, sigs: DataFrame, total: int, width: int) -> Dat
             ids = b.column(0).to_pylist()
             for lo, _, data, offs in tx.slabs(b.column(1)):
                 for k, s in enumerate(tx.shingle_sets(data, offs, width)):
-                    sender.add(ids[lo + k], s[: len(s) - 2 * len(s) // 3])
+                    sender.add(ids[lo + k], len(s), s[: len(s) - 2 * len(s) // 3])
                 if sender.size >= FLUSH:
                     yield from sender.flush()
         yield from sender.flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, places, _, df in _received(batches, np.uint32):
-            shared = np.add.reduceat((df > 0).astype(np.int64), np.cumsum(places) - places)
-            on = shared > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[on], pa.int64()), pa.array(shared[on], pa.int64())], ["doc_id", "shared"])
+        back = _Returner(buckets)
+        for ids, sizes, places, _, df in _received(batches, np.uint32):
+            back.add(ids, sizes, np.add.reduceat((df > 0).astype(np.int64), np.cumsum(places) - places))
+            if back.size >= FLUSH:
+                yield from back.flush()
+        yield from back.flush()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, counts, _ = _returned(batches)
+        rows, at = np.unique(np.stack([ids, sizes.astype(np.int64)]), axis=1, return_inverse=True)
+        shared = np.bincount(at.ravel(), weights=counts, minlength=rows.shape[1])
+        # linked sets share n / 12 of them at least (where one has 3/4 of the other's size); 2 less for rounding
+        keep = np.unique(rows[0][shared >= np.maximum(1, rows[1] // 12 - 2)])
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], ["doc_id"])
 
-    shared = _dealt(own.where("doc_id is not null").mapInArrow(send, _BLOB), buckets).mapInArrow(count, "doc_id bigint, shared bigint")
-    shared = shared.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    # linked sets share n / 12 of them at least (where one has 3/4 of the other's size); 2 less for rounding
-    need = F.greatest(F.lit(1), F.floor(F.col("n") / 12) - 2)
-    return shared.join(sigs.select("doc_id", "n"), "doc_id").where(F.col("shared") >= need).select("doc_id").distinct()
+    told = _dealt(own.where("doc_id is not null").mapInArrow(send, _BLOB), buckets).mapInArrow(count, _Returner.schema)
+    return told.repartition(buckets, "part").mapInArrow(decide, "doc_id bigint")
 
 
 def _index(sets: DataFrame, total: int) -> DataFrame:
-    """Index lists: key, node, its set's size and shared size."""
+    """Index lists: key (rarer shingles have smaller ones), node, its set's size n and shared size c, and the key's place pos among its shared ones."""
     buckets = max(4, -(-total // BUCKET))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,30 +241,46 @@ def _index(sets: DataFrame, total: int) -> DataFrame:
             tokens = b.column(1)
             flat, offs = tokens.values.to_numpy().view(np.uint64), tokens.offsets.to_numpy()
             for k, node in enumerate(b.column(0).to_pylist()):
-                sender.add(node, flat[offs[k] : offs[k + 1]])
+                sender.add(node, int(offs[k + 1] - offs[k]), flat[offs[k] : offs[k + 1]])
                 if sender.size >= FLUSH:
                     yield from sender.flush()
         yield from sender.flush()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, places, tokens, df in _received(batches, np.uint64):
+        back = _Returner(buckets)
+        for ids, sizes, places, tokens, df in _received(batches, np.uint64):
             on = df > 0
-            # rarest first; the low bits tell shingles apart
+            # the low bits tell shingles apart
             key = (np.minimum(df, 32767).astype(np.uint64) << np.uint64(48) | tokens & np.uint64((1 << 48) - 1))[on].astype(np.int64)
-            have = np.add.reduceat(on.astype(np.int64), np.cumsum(places) - places)
-            some = have > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), tx.list_array(key, have[some], pa.int64())], ["node", "keys"])
-
-    lists = _dealt(sets.select("node", "tokens").mapInArrow(send, _BLOB), buckets).mapInArrow(keys, "node bigint, keys array<bigint>")
-    lists = lists.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys")).withColumn("c", F.size("keys"))
-    least = F.ceil(F.col("n") * 3 / 4).cast("int")
-    lists = lists.join(sets.select("node", F.size("tokens").alias("n")), "node").where(F.col("c") >= least)
-    return lists.select(F.explode(F.slice("keys", F.lit(1), F.col("c") - least + 1)).alias("key"), "node", "n", "c")
+            back.add(ids, sizes, np.add.reduceat(on.astype(np.int64), np.cumsum(places) - places), key)
+            if back.size >= FLUSH:
+                yield from back.flush()
+        yield from back.flush()
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, counts, key = _returned(batches)
+        owner = np.repeat(ids, counts)
+        order = np.lexsort((key, owner))
+        owner, key, n = owner[order], key[order], np.repeat(sizes.astype(np.int64), counts)[order]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        c = np.diff(np.append(first, len(owner)))
+        pos, c = np.arange(len(owner)) - np.repeat(first, c), np.repeat(c, c)
+        on = np.flatnonzero(pos <= c - -(-3 * n // 4))
+        for lo in range(0, len(on), 65536):
+            at = on[lo : lo + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), pa.array(owner[at], pa.int64()), *(pa.array(x[at], pa.int32()) for x in (n, c, pos))], ["key", "node", "n", "c", "pos"])
+
+    told = _dealt(sets.mapInArrow(send, _BLOB), buckets).mapInArrow(keys, _Returner.schema)
+    return told.repartition(buckets, "part").mapInArrow(lists, "key bigint, node bigint, n int, c int, pos int")
 
 
 def _fits(a: str, b: str) -> str:
-    """Sizes and shared sizes of two sets allow a link."""
-    return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) and 7 * least({a}.c, {b}.c) >= 3 * ({a}.n + {b}.n)"
+    """Sizes and places allow a link of two sets whose first common shingle this is: what each has from here on must suffice.
+
+    Sets that link pass this at their first common shingle, so what fails at
+    later ones is lost nowhere.
+    """
+    return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) and 7 * least({a}.c - {a}.pos, {b}.c - {b}.pos) >= 3 * ({a}.n + {b}.n)"
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,8 +315,8 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
 
 def _links(post: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different sets, enough to give the components of all links."""
-    first = post.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("s"), "node", "n", "c")).alias("p"), F.count("*").alias("many")).where("many > 1")
-    first = first.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("n"), F.col("p.c").alias("c"))
+    first = post.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("s"), "node", "n", "c", "pos")).alias("p"), F.count("*").alias("many")).where("many > 1")
+    first = first.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("n"), F.col("p.c").alias("c"), F.col("p.pos").alias("pos"))
     met = post.alias("x").join(first.alias("y"), F.expr(f"x.key = y.key and x.node <> y.pivot and {_fits('x', 'y')}"))
     votes = met.groupBy(F.col("x.node").alias("a"), F.col("y.pivot").alias("b")).agg(F.count("*").alias("votes"))
     asked = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -288,7 +354,7 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     total = sigs.agg(F.sum("n")).first()[0] or 0
     out = sigs.join(classes, ["h1", "h2", "n"], "left")
     if total:
-        left = cut(_prefiltered(own, sigs, total, width).join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        left = cut(_prefiltered(own, total, width).join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
         n_left = left.count()
         left = F.broadcast(left) if n_left <= BROADCAST_IDS else left
 
