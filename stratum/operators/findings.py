@@ -161,7 +161,7 @@ def retract(revisions: DataFrame, citations: DataFrame, finding_id: str, reason:
     top = revisions.agg(F.max("seq")).first()[0] or 0
     new = head.withColumns({"rev": F.col("rev") + 1, "seq": F.lit(top + 1).cast("bigint"), "retracted": F.lit(True), "supersedes": F.col("hash"), "hash": F.sha2(F.concat_ws("|", "hash", F.lit("retracted"), F.lit(reason)).cast("binary"), 256)})
     told = citations.join(own.select("hash").distinct(), "hash", "left_semi")
-    return revisions.unionByName(new), told
+    return revisions.unionByName(new.select(*revisions.columns)), told
 
 
 def learned_threshold(verdicts: DataFrame, start: float = NEAR_THRESHOLD) -> DataFrame:

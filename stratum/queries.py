@@ -844,3 +844,184 @@ def o2_stage_report(spark, sf):
     z = F.lit(0).cast("bigint")
     ev = docs(spark, sf).select(F.lit("r").alias("run"), F.col("lang").alias("stage"), ok.alias("valid"), F.when(~ok, "semantic").alias("error_class"), F.col("n_chars").cast("double").alias("latency_ms"), z.alias("input_tokens"), z.alias("output_tokens"), F.lit(0.0).alias("cost_usd"))
     return report.stage_report(ev).select("run", "stage", "calls", "accepted", "semantic", "p50_ms")
+
+
+# More rows of the inventory
+
+
+@query("""
+WITH f AS (SELECT conv_id, turn, role, min(turn) OVER (PARTITION BY conv_id, role) AS first FROM conversations), r AS (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS k FROM f)
+SELECT conv_id, string_agg('S' || k || ': said', chr(10) ORDER BY turn) AS talk FROM r GROUP BY conv_id
+""")
+def p13_speakers(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": said")).alias("line")))).alias("l"))
+    c = c.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("talk"))
+    return txt.pseudonymize_speakers(c, "talk")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name FROM nation")
+def s18_table(spark, sf):
+    from .sources import files
+
+    base = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
+    n.write.option("header", True).option("sep", "\t").csv(base)
+    return files.table_records(spark, base, "tsv").select("id", "n_name")
+
+
+@query("SELECT 'r' || r_regionkey || '.txt' AS file, '<' || r_name || '>' AS body FROM region")
+def s22_write(spark, sf):
+    base = f"{shared_dir(spark)}/write-{uuid.uuid4().hex}"
+    r = table(spark, sf, "region").withColumn("id", F.concat(F.lit("r"), F.col("r_regionkey").cast("string")))
+    sinks.write_records(r, base, "deep/{{.id}}.txt", "<{{.r_name}}>")
+    return spark.read.text(base).select(F.col("name").alias("file"), F.col("value").alias("body"))
+
+
+@query("""
+SELECT event_type, date_trunc('day', ts) AS window_start, 0 AS seq, true AS final, count(*) AS n FROM events GROUP BY ALL
+""")
+def s13_pane_metadata(spark, sf):
+    p = win.panes(table(spark, sf, "events"), "ts", "event_id", win.WindowSpec(size=86400, key="event_type"))
+    d = sinks.pane_meta(p, stage="day")
+    return d.select("event_type", F.col("_pane.window_start").alias("window_start"), F.col("_pane.seq").alias("seq"), F.col("_pane.final").alias("final"), "n")
+
+
+@query("SELECT event_type, ((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 100)::INT AS pane_seq, event_id FROM events")
+def w8_global_window(spark, sf):
+    """No windows in time: a pane per hundred records of a key."""
+    spec = win.WindowSpec(key="event_type", at_count=100)
+    return win.numbered(table(spark, sf, "events"), "ts", "event_id", spec).select("event_type", "pane_seq", "event_id")
+
+
+@query("""
+WITH p AS (SELECT conv_id AS key, turn AS seq, sha256(role || chr(31) || coalesce(text, '')) AS h FROM conversations)
+SELECT key, list_reduce(list_prepend('', list(h ORDER BY seq)), lambda a, b: sha256(a || b)) AS chain FROM p GROUP BY key
+""")
+def d1_chain_hash(spark, sf):
+    return context.chain_hash(segments(spark, sf))
+
+
+@query("SELECT doc_id, n_chars % 4 <> 0 AS ok FROM documents")
+def d4_certificates(spark, sf):
+    """A quarter of the certificates claim a byte too many."""
+    n = F.col("n_chars")
+    claim = n + 10 + F.when(n % 4 == 0, 1).otherwise(0)
+    return docs(spark, sf).select("doc_id", context.verified(claim, n + 1, n, F.lit(10)).alias("ok"))
+
+
+@query("""
+SELECT o_orderkey, sha256(knowledge) AS same FROM (SELECT o_orderkey, lower(trim(o_orderpriority)) || '|' || (o_orderkey % 11) AS knowledge FROM orders)
+""")
+def k3_knowledge(spark, sf):
+    """Findings that differ in spelling and time alone say the same."""
+    k = F.col("o_orderkey")
+    answer = F.concat(F.when(k % 2 == 0, "Answer  ").otherwise("answer "), (k % 11).cast("string"), F.when(k % 3 == 0, "?").otherwise(""))
+    topic = F.when(k % 5 == 0, F.upper("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    fields = F.create_map(F.lit("a"), F.lit("1"))
+    d = table(spark, sf, "orders").select("o_orderkey", findings.knowledge_hash(topic, answer, fields, F.array(F.lit("X ")), F.lit(False)).alias("h"), F.concat(F.lower(F.trim("o_orderpriority")), F.lit("|"), (k % 11).cast("string")).alias("said"))
+    one = d.groupBy("h").agg(F.min("said").alias("said"), F.countDistinct("said").alias("n"))
+    return d.drop("said").join(one.where("n = 1"), "h").select("o_orderkey", F.sha2(F.col("said").cast("binary"), 256).alias("same"))
+
+
+@query("""
+WITH q AS (SELECT doc_id, 'c' || (doc_id % 40) AS class FROM documents), e AS (SELECT 'c' || (o_custkey % 40) AS class, o_orderkey AS seq, 'a' || (o_orderkey % 3) AS a, 'b' || (o_orderkey % 2) AS b FROM orders WHERE o_orderkey % 20 = 0),
+g AS (SELECT doc_id, seq, list_filter(['a0', 'b1', 'z'], lambda x: x <> a AND x <> b) AS gap FROM q JOIN e USING (class))
+SELECT doc_id, seq, len(gap) AS missing FROM g WHERE len(gap) > 0 AND len(gap) < 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(gap), seq DESC) = 1
+""")
+def k6_best_partial(spark, sf):
+    q = docs(spark, sf).select(F.col("doc_id").cast("string").alias("question_key"), F.concat(F.lit("c"), (F.col("doc_id") % 40).cast("string")).alias("class"), F.array(F.lit("a0"), F.lit("b1"), F.lit("z")).alias("needs"))
+    e = entries(spark, sf).where("seq % 20 = 0")
+    got = findings.best_partial(q, e).join(e.select("hash", "seq"), "hash")
+    return got.select(F.col("question_key").cast("bigint").alias("doc_id"), "seq", F.size("gap").alias("missing"))
+
+
+@query("""
+SELECT (SELECT count(*) FROM orders WHERE o_custkey = 7) + CASE WHEN (SELECT count(*) FROM orders WHERE o_custkey = 7) > 0 THEN 1 ELSE 0 END AS revisions, (SELECT count(*) FROM orders WHERE o_custkey = 7) AS told, 0 AS live
+""")
+def k11_retract(spark, sf):
+    """A finding is retracted: one more revision, no live head, and all who were served one of its revisions are named."""
+    e = entries(spark, sf)
+    cites = e.select("hash", F.concat(F.lit("run"), F.col("seq").cast("string")).alias("run_id"))
+    rev, told = findings.retract(e, cites, "f7", "wrong")
+    own = rev.where("finding_id = 'f7'")
+    live = findings.live_heads(own)
+    return own.agg(F.count("*").alias("revisions")).crossJoin(told.agg(F.count("*").alias("told"))).crossJoin(live.agg(F.count("*").alias("live")))
+
+
+@query("SELECT v AS volatility, h AS hours FROM (VALUES ('static', NULL::DOUBLE), ('slow', 720.0), ('daily', 24.0), ('hourly', 1.0), ('live', 0.0)) t(v, h)")
+def k16_horizons(spark, sf):
+    d = spark.createDataFrame([(v,) for v in findings.HORIZON_HOURS], "volatility string")
+    return d.select("volatility", findings.horizon_hours(F.col("volatility")).alias("hours"))
+
+
+@query("""
+WITH q AS (SELECT doc_id, 'q' || (doc_id % 700) AS k, 'c' || (doc_id % 60) AS class FROM documents), e AS (SELECT 'q' || (o_orderkey % 500) AS k, 'c' || (o_custkey % 40) AS class FROM orders),
+t AS (SELECT CASE WHEN k IN (SELECT k FROM e) THEN 'exact' WHEN class IN (SELECT class FROM e) THEN 'class' ELSE 'miss' END AS tier FROM q)
+SELECT tier, count(*) AS asked FROM t GROUP BY 1
+""")
+def k20_gate_stats(spark, sf):
+    return k4_lookup_tiers(spark, sf).groupBy("tier").agg(F.count("*").alias("asked"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS label, lang AS lf FROM documents), c(name, nf) AS (VALUES ('src1', 'en'), ('SRC2', 'fr'), ('src3 extra', 'en')),
+n AS (SELECT *, lower(name) AS norm FROM c), p AS (SELECT label, lf, name, (CASE WHEN label = norm THEN 1.0 ELSE 0.85 END) * (CASE WHEN lf = nf THEN 1.0 ELSE 0.8 END) AS s FROM l JOIN n ON list_has_any(string_split(label, ' '), string_split(norm, ' '))),
+b AS (SELECT label, lf, max(s) AS s, arg_max(name, s) AS name FROM p GROUP BY ALL)
+SELECT l.label, l.lf AS label_family, CASE WHEN s >= 0.6 THEN name END AS name, round(coalesce(s, 0), 6)::DOUBLE AS score, coalesce(s, 0) < 0.6 AS synthesize FROM l LEFT JOIN b ON b.label = l.label AND b.lf = l.lf
+""")
+def k23_match_labels(spark, sf):
+    caps = spark.createDataFrame([("src1", "en"), ("SRC2", "fr"), ("src3 extra", "en")], "name string, family string")
+    labels = docs(spark, sf).select(matching.normalized(F.col("source")).alias("label"), F.col("lang").alias("family")).distinct()
+    return matching.match_labels(labels, caps).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT lang AS topic, 1 AS versions, count(*) > 0 AS seen FROM documents GROUP BY lang")
+def f7_blackboard(spark, sf):
+    """Equal posts of a topic count once."""
+    from .plans.fleet import Board
+
+    board = Board(spark, f"{shared_dir(spark)}/board-{uuid.uuid4().hex}")
+    langs = [r[0] for r in docs(spark, sf).select("lang").distinct().orderBy("lang").collect()]
+    for lang in langs:
+        for agent in ("one", "two"):
+            board.post(lang, agent, {"lang": lang})
+    out = None
+    for lang in langs:
+        d = board.posts(lang).agg(F.count("*").alias("versions"), (F.count("*") > 0).alias("seen")).select(F.lit(lang).alias("topic"), "versions", "seen")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 'transient' WHEN n_chars % 7 = 1 THEN 'permanent' ELSE 'none' END AS kind FROM documents")
+def x1_failure_classes(spark, sf):
+    """A called model that fails by its prompt: classes as the ladder records them."""
+    from .plans.models import PERMANENT, TRANSIENT, ModelError
+
+    def call(prompt: str) -> str:
+        n = int(prompt.split("=")[1]) % 7
+        if n < 2:
+            raise ModelError("no", TRANSIENT if n == 0 else PERMANENT)
+        return "done"
+
+    d = docs(spark, sf).select("id", "doc_id", "n_chars")
+    got = inf.infer(d, inf.InferSpec(Binding(tier="fast"), "n={{.n_chars}}"), Registry(Model("called", "fast", FAST, call=call)), max_attempts=1)
+    failed = got.failures.select(F.col("record_id").cast("bigint").alias("doc_id"), F.col("error_class").alias("kind"))
+    return failed.unionByName(got.records.select("doc_id", F.lit("none").alias("kind")))
+
+
+@query("SELECT 'fb' AS step, sum(n_chars)::VARCHAR AS total FROM documents WHERE lang <> 'en' UNION ALL SELECT 'fa', sum(n_chars)::VARCHAR FROM documents WHERE lang = 'en' UNION ALL SELECT 'all', sum(n_chars)::VARCHAR FROM documents")
+def z2_document_merge(spark, sf):
+    """A pipeline document over a table file: two folds by a condition, merged in listed order."""
+    from .plans.document import Document
+
+    base = f"{shared_dir(spark)}/doc-{uuid.uuid4().hex}"
+    docs(spark, sf).select("id", "lang", F.col("n_chars").cast("string").alias("chars")).write.option("header", True).csv(base)
+    steps = [
+        {"id": "in", "kind": "source", "source": {"from": "table", "path": base, "format": "csv"}},
+        {"id": "fa", "kind": "fold", "after": "in", "tier": "deep", "item": "chars", "output": "total", "where": [{"field": "lang", "op": "is", "value": "en"}]},
+        {"id": "fb", "kind": "fold", "after": "in", "tier": "deep", "item": "chars", "output": "total", "where": [{"field": "lang", "op": "is-not", "value": "en"}]},
+        {"id": "all", "kind": "merge", "after": ["fb", "fa"], "tier": "deep", "item": "total", "output": "total"},
+    ]
+    out = Document("sums", steps).build(spark, MODELS)
+    rows = [out[k].select(F.lit(k).alias("step"), "total") for k in ("fb", "fa", "all")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
