@@ -1025,3 +1025,54 @@ def z2_document_merge(spark, sf):
     out = Document("sums", steps).build(spark, MODELS)
     rows = [out[k].select(F.lit(k).alias("step"), "total") for k in ("fb", "fa", "all")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# 2.18 end-to-end shapes
+
+
+@query("""
+WITH o AS (SELECT coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, 'unranked') AS tier, floor(o_totalprice)::BIGINT AS amount FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+SELECT tier, sum(amount)::VARCHAR AS total FROM o WHERE amount >= 100000 GROUP BY tier
+""")
+def q4_support_desk(spark, sf):
+    """Enrich by a broadcast dictionary, infer, filter, and a reduction per tier."""
+    names = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("tier"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.floor("o_totalprice").cast("bigint").alias("amount"))
+    o = cache.lookup(o, names, "o_custkey", "tier", "unranked")
+    judge = Model("judge", "fast", FAST, answer=lambda p: F.concat(F.lit('{"large": '), F.when(F.regexp_extract(p, r"(\d+)$", 1).cast("bigint") >= 100000, "true").otherwise("false"), F.lit("}")))
+    spec = inf.InferSpec(Binding(tier="fast"), "amount {{.amount}}", schema=T.StructType([T.StructField("large", T.BooleanType())]))
+    kept = inf.infer(o, spec, Registry(judge), max_attempts=1).records.where("large")
+    kept = kept.withColumn("_seq", F.row_number().over(Window.partitionBy("tier").orderBy("id")) - 1)
+    return red.reduce_ai(kept, ADDER, red.numbered_prompt("Add:"), item="amount", output="total", key="tier")[0].select("tier", "total")
+
+
+@query(_DECIDE + """
+, s AS (SELECT bucket, CASE WHEN a0 + b0 < 25 OR c0 <= c1 THEN 0 ELSE 1 END AS start FROM d), t AS (SELECT quality, start FROM labels JOIN documents USING (doc_id) JOIN s ON s.bucket = lang)
+SELECT rung, count(*) AS calls FROM (SELECT start AS rung FROM t UNION ALL SELECT 1 FROM t WHERE start = 0 AND quality <> 1) GROUP BY rung
+""")
+def q10_router(spark, sf):
+    """A two-rung ladder that starts where learned counts say it is cheapest; without probes."""
+    decisions = route.decide(route.profile(attempts_by_lang(spark, sf)), [1.0, 3.0])
+    lab = table(spark, sf, "labels").join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    tasks = lab.select(F.col("doc_id").cast("string").alias("id"), "quality", F.lit("s").alias("stage"), F.col("lang").alias("bucket"))
+    tasks = route.start_rungs(tasks, decisions, rate=0.0)
+    small = Model("small", "fast", FAST, answer=lambda p: F.when(p.contains("quality=1"), F.lit('{"v": "ok"}')).otherwise("unsure"))
+    large = Model("large", "deep", DEEP, answer=lambda p: F.when(p != "", F.lit('{"v": "ok"}')))
+    spec = inf.InferSpec(Binding(tier="fast", escalate=("deep",)), "quality={{.quality}}", schema=T.StructType([T.StructField("v", T.StringType())]))
+    got = inf.infer(tasks, spec, Registry(small, large), max_attempts=2, start_rung=F.col("start_rung"))
+    return got.attempts.groupBy("rung").agg(F.count("*").alias("calls"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT lang, length(line) AS n FROM l WHERE length(line) >= 200)
+SELECT lang, count(*) AS lines, sum(n)::VARCHAR AS total FROM k GROUP BY lang
+""")
+def q3_branching(spark, sf):
+    """One flat-map, two branches: a keyed reduction and a plain count, joined by their key."""
+    p = Pipeline("research")
+    lines = p.from_func("documents", lambda s: docs(s, sf).select("id", "doc_id", "lang", "text")).flat_map("lines", F.split("text", "\n"), output="line")
+    kept = lines.map("size", {"n": F.length("line").cast("bigint")}).filter("long", F.col("n") >= 200)
+    kept.map("key", {"line_id": F.concat_ws("/", F.lpad("id", 12, "0"), F.lpad(F.col("pos").cast("string"), 8, "0"))}).reduce_ai("total", Binding(tier="deep"), red.numbered_prompt("Add:"), item="n", output="total", key="lang")
+    _, got = p.run(spark, MODELS, id_col="line_id")
+    counts = got.outputs["long"].groupBy("lang").agg(F.count("*").alias("lines"))
+    return counts.join(got.outputs["total"].select("lang", "total"), "lang")
