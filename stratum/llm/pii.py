@@ -345,7 +345,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # trained in one task, where numpy keeps to one core; the sample is bounded
     learned = Tagger()
-    learned.p = pickle.loads(sample.select("text").coalesce(1).mapInArrow(learn, "model binary").first()[0])
+    row = sample.select("text").coalesce(1).mapInArrow(learn, "model binary").first()
+    learned.p = pickle.loads(row[0]) if row else train([]).p  # an empty table may have no task
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ words and get the base score; without labels of both kinds every score is 0.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -209,8 +210,15 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -
     if not rows:
         return None
     sample = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in rows], "doc_id bigint, toxic int").dropDuplicates(["doc_id"])
-    got = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * train_docs).collect()
-    return fit([r["text"] for r in got], [r["toxic"] == 1 for r in got])
+    got = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * train_docs)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in rows], [y == 1 for _, y in rows]))], pa.binary())], ["model"])
+
+    # trained in one task, away from the driver; the sample is bounded
+    row = got.select("text", "toxic").coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(row[0]) if row else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -> DataFrame:
