@@ -250,6 +250,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
 def _one_pass(own: DataFrame, phrases: Phrases) -> DataFrame:
     sent = own.sparkSession.sparkContext.broadcast(phrases)  # bounded by block_bytes
 
+    @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ph = sent.value
         span = pa.struct([(k, pa.int64()) for k in ("word_start", "word_end", "byte_start", "byte_end")])
@@ -279,6 +280,7 @@ def remove_leaks(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW) ->
     for items in _blocks(bench, "item_id", "text", BLOCK_BYTES):
         sent = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
 
+        @tx.released
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ph = sent.value
             for b in batches:

@@ -66,6 +66,7 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def signatures(own: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, size of its set, and two hashes of the set."""
 
+    @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, h1, h2 = [], [], []
@@ -200,6 +201,7 @@ def _prefiltered(own: DataFrame, total: int, width: int) -> DataFrame:
     """Ids that the prefilter leaves."""
     buckets = max(4, -(-total // (3 * BUCKET)))
 
+    @tx.released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets, narrow=True)
         for b in batches:
@@ -211,6 +213,7 @@ def _prefiltered(own: DataFrame, total: int, width: int) -> DataFrame:
                     yield from sender.flush()
         yield from sender.flush()
 
+    @tx.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = _Returner(buckets)
         for ids, sizes, places, _, df in _received(batches, np.uint32):
@@ -219,6 +222,7 @@ def _prefiltered(own: DataFrame, total: int, width: int) -> DataFrame:
                 yield from back.flush()
         yield from back.flush()
 
+    @tx.released
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, counts, _ = _returned(batches)
         rows, at = np.unique(np.stack([ids, sizes.astype(np.int64)]), axis=1, return_inverse=True)
@@ -235,6 +239,7 @@ def _index(sets: DataFrame, total: int) -> DataFrame:
     """Index lists: key (rarer shingles have smaller ones), node, its set's size n and shared size c, and the key's place pos among its shared ones."""
     buckets = max(4, -(-total // BUCKET))
 
+    @tx.released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets, narrow=False)
         for b in batches:
@@ -246,6 +251,7 @@ def _index(sets: DataFrame, total: int) -> DataFrame:
                     yield from sender.flush()
         yield from sender.flush()
 
+    @tx.released
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = _Returner(buckets)
         for ids, sizes, places, tokens, df in _received(batches, np.uint64):
@@ -257,6 +263,7 @@ def _index(sets: DataFrame, total: int) -> DataFrame:
                 yield from back.flush()
         yield from back.flush()
 
+    @tx.released
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, counts, key = _returned(batches)
         owner = np.repeat(ids, counts)
@@ -358,6 +365,7 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         n_left = left.count()
         left = F.broadcast(left) if n_left <= BROADCAST_IDS else left
 
+        @tx.released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lo, hi, data, offs in tx.slabs(b.column(1)):

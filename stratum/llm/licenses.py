@@ -116,6 +116,7 @@ def _places(data: np.ndarray, offs: np.ndarray, index: Index) -> tuple:
 def document_frequencies(own: DataFrame, index: Index) -> tuple[np.ndarray, int]:
     """How many documents have each template word, over all documents; and how many there are."""
 
+    @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(index.words), np.int64), 0
         for b in batches:
@@ -189,6 +190,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(place)]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
 
+    @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [x for _, _, data, offs in tx.slabs(b.column(1)) for x in scan_slab(data, offs, index)]

@@ -339,6 +339,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = own.where("text is not null and length(text) between 1 and 4000 and text rlike '[0-9@]'").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_docs)
 
+    @tx.released
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts).p)], pa.binary())], ["model"])
@@ -349,6 +350,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     learned.p = pickle.loads(row[0]) if row else train([]).p  # an empty table may have no task
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # a few thousand numbers
 
+    @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

@@ -8,7 +8,10 @@ of a row, so that memory is bounded by the slab size plus the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,23 @@ _MIX = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1
 _POW: dict[int, np.ndarray] = {}
 
 
+def released(run: Callable) -> Callable:
+    """A batch function after which the worker gives memory that it no longer needs back to the system: workers live on, and their executors' other tasks need it."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POW.get(base)
     if have is None or len(have) < n:

@@ -212,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -
     sample = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in rows], "doc_id bigint, toxic int").dropDuplicates(["doc_id"])
     got = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * train_docs)
 
+    @tx.released
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in rows], [y == 1 for _, y in rows]))], pa.binary())], ["model"])
@@ -226,6 +227,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAI
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(train(own, labels, train_docs=train_docs))  # bounded by the training sample
 
+    @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         span = pa.struct([("byte_start", pa.int64()), ("byte_end", pa.int64()), ("marginal", pa.float64())])
@@ -257,6 +259,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
+    @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = [score_slab(data, offs, sent.value)[0] for _, _, data, offs in tx.slabs(b.column(at))]
