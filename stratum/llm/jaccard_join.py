@@ -53,12 +53,17 @@ BUCKET = 1_000_000
 #: Shingles that a task gathers before it sends them.
 FLUSH = 4_000_000
 #: Ids that are sent to all tasks at most (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 4_000_000
 
 _BLOB = "bucket int, kind int, ids binary, sizes binary, counts binary, tokens binary"
 _SIZE_BLOCK = math.log(4 / 3)
 
 
+def _buckets(total: int) -> int:
+    """A bucket for every million shingles; from four thousand buckets on one for every 32 million more, lest each task's rows become too small."""
+    return max(4, min(-(-total // BUCKET), 4096 + total // (32 * BUCKET)))
+
+
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -199,7 +204,7 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
 
 def _prefiltered(own: DataFrame, total: int, width: int) -> DataFrame:
     """Ids that the prefilter leaves."""
-    buckets = max(4, -(-total // (3 * BUCKET)))
+    buckets = _buckets(total // 3)
 
     @tx.released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +242,7 @@ def _prefiltered(own: DataFrame, total: int, width: int) -> DataFrame:
 
 def _index(sets: DataFrame, total: int) -> DataFrame:
     """Index lists: key (rarer shingles have smaller ones), node, its set's size n and shared size c, and the key's place pos among its shared ones."""
-    buckets = max(4, -(-total // BUCKET))
+    buckets = _buckets(total)
 
     @tx.released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
