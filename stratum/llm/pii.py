@@ -2,13 +2,15 @@ r"""Personal data: fixed patterns, and a character-level bidirectional LSTM with
 
 Base spans come from fixed patterns (with their checks).  The network is trained
 in numpy on windows of a bounded sample, labelled by base spans and by typical
-written forms that the patterns miss (`SYNTHETIC`).  Every kind of the label
-scheme holds a digit or an @, so windows are laid, overlapping, over all places
-of a text that are within `REACH` characters of one; elsewhere no span can
-stand.  Each window is decoded by Viterbi; where windows overlap, each character
-takes its tag from the window in which it lies furthest from an edge, and spans
-are read from the joined tags of the whole text.  Spans that touch no base span
-are added.
+written forms that the patterns miss (`SYNTHETIC`).  Windows are laid,
+overlapping, over the whole of every text.  Each is decoded by Viterbi; where
+windows overlap, each character takes its tag from the window in which it lies
+furthest from an edge, and spans are read from the joined tags of the whole
+text.  Spans that touch no base span are added.
+
+A span that is read holds a digit, an @ or an "(at)" (`TRIGGER`).  So windows
+that give no such character its tag are decoded only where a span reaches into
+them; the spans are those that decoding every window gives.
 
 Null and empty texts have no spans.  Without labelled spans in the sample the
 synthetic ones remain.  Training is seeded: equal inputs give equal models.
@@ -37,18 +39,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Characters of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 32
-#: Characters around a digit or @ that windows cover.
-REACH = 24
 #: Documents and windows that training takes at most, and its batches.
 TRAIN_DOCS, TRAIN_WINDOWS, BATCHES, BATCH = 2000, 2000, 320, 64
 EMBED, HIDDEN = 8, 16
+#: What every span that `_read` accepts holds.
+TRIGGER = re.compile(r"[0-9@]|\([Aa][Tt]\)")
 #: 0: outside; 1 + 2k: the first character of kind k; 2 + 2k: a later one.
 TAGS = 1 + 2 * len(KINDS)
 
 SCHEMA = "doc_id bigint, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int>>"
 
 # digits are one class, as are lower-case, upper-case and non-ASCII letters; other ASCII stands for itself
-_CLASS = np.zeros(129, np.int64)
+_CLASS = np.zeros(129, np.uint8)
 _CLASS[48:58], _CLASS[97:123], _CLASS[65:91], _CLASS[128] = 1, 2, 3, 4
 _rest = [c for c in range(128) if not _CLASS[c] and c != 0]
 _CLASS[_rest] = 5 + np.arange(len(_rest))
@@ -105,18 +107,17 @@ def encode(text: str) -> np.ndarray:
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows of a text, and the classes of its characters."""
     x = encode(text)
-    near = np.flatnonzero((x == 1) | (x == _CLASS[64]))
-    if not len(near):
-        return np.zeros(0, np.int64), x
-    cut = np.flatnonzero(np.diff(near) > 2 * REACH)
-    lo = np.maximum(near[np.concatenate([[0], cut + 1])] - REACH, 0)
-    hi = np.minimum(near[np.concatenate([cut, [len(near) - 1]])] + REACH + 1, len(x))
-    return np.concatenate([np.arange(a, max(a + 1, b - (WINDOW - STRIDE)), STRIDE) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), x
+    return np.arange(0, max(1, len(x) - (WINDOW - STRIDE)) if len(x) else 0, STRIDE), x
+
+
+def owner(at: np.ndarray, n: int) -> np.ndarray:
+    """Of n windows the one in which a character lies furthest from an edge; ends of the text count as no edges."""
+    return np.clip((at - (WINDOW - STRIDE) // 2) // STRIDE, 0, n - 1)
 
 
 def cut_windows(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     at = starts[:, None] + np.arange(WINDOW)
-    return np.where(at < len(x), x[np.minimum(at, max(len(x) - 1, 0))], 0)
+    return np.where(at < len(x), x[np.minimum(at, max(len(x) - 1, 0))], x.dtype.type(0))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -218,20 +219,43 @@ class Tagger:
         g["E"] = ge
         return loss, g
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """Emissions as steps x TAGS x windows, without a memo; both directions run in one loop, and inputs come from a table of the classes."""
+        n, steps = x.shape
+        table = np.stack([self.p["E"] @ self.p[f"Wx{d}"] + self.p[f"b{d}"] for d in "fb"]).transpose(0, 2, 1).copy()
+        wh = np.stack([self.p[f"Wh{d}"].T for d in "fb"]).copy()
+        xt = np.ascontiguousarray(x.T)
+        h, c = np.zeros((2, HIDDEN, n), np.float32), np.zeros((2, HIDDEN, n), np.float32)
+        out = np.empty((2, steps, HIDDEN, n), np.float32)
+        for t in range(steps):
+            z = wh @ h
+            z[0] += table[0][:, xt[t]]
+            z[1] += table[1][:, xt[steps - 1 - t]]
+            z[:, : 3 * HIDDEN] *= 0.5
+            np.tanh(z, out=z)
+            gates = z[:, : 3 * HIDDEN]
+            gates += 1
+            gates *= 0.5
+            c *= z[:, HIDDEN : 2 * HIDDEN]
+            c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+            h = z[:, 2 * HIDDEN : 3 * HIDDEN] * np.tanh(c)
+            out[0, t], out[1, steps - 1 - t] = h
+        wo = self.p["Wo"].T
+        return wo[:, :HIDDEN] @ out[0] + wo[:, HIDDEN:] @ out[1] + self.p["bo"][:, None]
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags, windows x steps."""
-        em, _ = self.emissions(x)
-        steps, n, _ = em.shape
-        back = np.empty((steps, n, TAGS), np.int8)
-        v = em[0] + self.p["S"]
+        em = self.states(x)
+        steps, _, n = em.shape
+        v = em
+        v[0] += self.p["S"][:, None]
+        trans = self.p["T"][:, :, None]
         for t in range(1, steps):
-            s = v[:, :, None] + self.p["T"]
-            back[t] = s.argmax(axis=1)
-            v = s.max(axis=1) + em[t]
+            v[t] += (v[t - 1][:, None] + trans).max(axis=0)
         out = np.empty((n, steps), np.int8)
-        out[:, -1] = v.argmax(axis=1)
+        out[:, -1] = v[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = back[t][np.arange(n), out[:, t]]
+            out[:, t - 1] = (v[t - 1] + self.p["T"][:, out[:, t]]).argmax(axis=0)
         return out
 
 
@@ -266,7 +290,10 @@ def train(texts: list[str], seed: int = 7, batches: int = BATCHES) -> Tagger:
         y = _tags(len(x), sorted(base_spans(t), reverse=True))
         own = cut_windows(x, starts)
         tags = np.where(starts[:, None] + np.arange(WINDOW) < len(x), y[np.minimum(starts[:, None] + np.arange(WINDOW), len(x) - 1)], 0)
-        pick = r.sample(range(len(starts)), min(8, len(starts)))
+        # half from windows with a digit or @, which most spans hold, half from the others
+        near = ((own == 1) | (own == _CLASS[64])).any(axis=1)
+        some, rest = np.flatnonzero(near).tolist(), np.flatnonzero(~near).tolist()
+        pick = r.sample(some, min(4, len(some))) + r.sample(rest, min(4, len(rest)))
         xs += list(own[pick])
         ys += list(tags[pick])
     words = [w for t in texts[:200] for w in t[:400].split() if w.isalpha()] or ["name"]
@@ -278,7 +305,7 @@ def train(texts: list[str], seed: int = 7, batches: int = BATCHES) -> Tagger:
         line = head + form + " " + " ".join(r.choice(words) for _ in range(8))
         xs.append(cut_windows(encode(line), np.array([0]))[0])
         ys.append(np.pad(_tags(len(line), [(kind, len(head), len(head) + len(form))]), (0, WINDOW))[:WINDOW])
-    x, y = np.array(xs), np.array(ys)
+    x, y = np.array(xs, np.int64), np.array(ys)
     model, rng = Tagger(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     s = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -298,10 +325,10 @@ def _read(tags: np.ndarray, origin: int, text: str) -> list[tuple[int, int, int]
     """Spans of a run of tags, without blanks at their ends; a span must hold what its kind needs."""
     out, k = [], 0
     n = len(tags)
-    while k < n:
-        if not tags[k]:
-            k += 1
+    for at in np.flatnonzero(tags).tolist():
+        if at < k:
             continue
+        k = at
         kind, e = (int(tags[k]) - 1) // 2, k + 1
         while e < n and tags[e] == 2 + 2 * kind:
             e += 1
@@ -312,7 +339,7 @@ def _read(tags: np.ndarray, origin: int, text: str) -> list[tuple[int, int, int]
             z -= 1
         body = text[s:z]
         count = len(_digits(body))
-        if (kind == 0 and "@" in body and len(body) >= 5) or (kind == 1 and count >= 4 and body.count(".") == 3) or (kind == 2 and 13 <= count <= 19) or (kind == 3 and 7 <= count <= 15):
+        if (kind == 0 and ("@" in body or "(at)" in body.lower()) and len(body) >= 5) or (kind == 1 and count >= 4 and body.count(".") == 3) or (kind == 2 and 13 <= count <= 19) or (kind == 3 and 7 <= count <= 15):
             out.append((kind, s, z))
         k = e
     return out
@@ -320,18 +347,9 @@ def _read(tags: np.ndarray, origin: int, text: str) -> list[tuple[int, int, int]
 
 def reconcile(starts: np.ndarray, tags: np.ndarray, text: str) -> list[tuple[int, int, int]]:
     """Spans of a whole text from its windows' tags."""
-    order = np.argsort(starts, kind="stable")
-    size = int(starts.max()) + WINDOW
-    best, joined = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-    margin = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    # a window at a text's start is whole there
-    for k in order.tolist():
-        s = int(starts[k])
-        m = margin if s else np.maximum(margin, np.where(np.arange(WINDOW) < WINDOW // 2, WINDOW, 0))
-        on = m > best[s : s + WINDOW]
-        joined[s : s + WINDOW][on] = tags[k][on]
-        best[s : s + WINDOW][on] = m[on]
-    return _read(joined, 0, text)
+    at = np.arange(len(text))
+    own = owner(at, len(starts))
+    return _read(tags[own, at - starts[own]], 0, text)
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -363,28 +381,38 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return own.mapInArrow(run, SCHEMA)
 
 
-_TRIGGER = np.zeros(256, bool)
-_TRIGGER[[64, *range(48, 58)]] = True
-
-
 def find_slab(data: np.ndarray, offs: np.ndarray, model: Tagger) -> tuple[list[list], list[list]]:
-    """Base and added spans of each row; rows without a digit or @ have none."""
+    """Base and added spans of each row; rows without a `TRIGGER` have none."""
     rows = len(offs) - 1
     base, added = [[] for _ in range(rows)], [[] for _ in range(rows)]
-    hits = np.concatenate([[0], np.cumsum(_TRIGGER[data])])[offs]
-    work = []
-    for r in np.flatnonzero(np.diff(hits)).tolist():
+    work, first, want = [], 0, []
+    for r in np.flatnonzero(np.diff(offs)).tolist():
         text = data[offs[r] : offs[r + 1]].tobytes().decode()
+        hits = [p for m in TRIGGER.finditer(text) for p in range(*m.span())]
+        if not hits:
+            continue
         base[r] = base_spans(text)
         starts, x = windows(text)
-        work.append((r, text, starts, cut_windows(x, starts)))
+        want.append(first + np.unique(owner(np.array(hits), len(starts))))
+        work.append((r, text, starts, cut_windows(x, starts), first))
+        first += len(starts)
     if not work:
         return base, added
     x = np.concatenate([w[3] for w in work])
-    tags = np.concatenate([model.decode(x[k : k + 1024]) for k in range(0, len(x), 1024)])
-    at = 0
-    for r, text, starts, own in work:
-        spans = reconcile(starts, tags[at : at + len(own)], text)
-        at += len(own)
+    tags, done = np.zeros(x.shape, np.int8), np.zeros(len(x) + 1, bool)
+    heads, tails = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    heads[[w[4] for w in work]] = tails[[w[4] + len(w[2]) - 1 for w in work]] = True
+    todo, edge = np.concatenate(want), (WINDOW - STRIDE) // 2
+    while len(todo):
+        done[todo] = True
+        for k in range(0, len(todo), 1024):
+            tags[todo[k : k + 1024]] = model.decode(x[todo[k : k + 1024]])
+        # a span at the end of what a window owns goes on in the next one, or comes from the one before
+        left, right = (tags[todo, edge] > 0) & ~heads[todo], (tags[todo, WINDOW - 1 - edge] > 0) & ~tails[todo]
+        more = np.unique(np.concatenate([todo[left] - 1, todo[right] + 1]))
+        todo = more[~done[more]]
+    for r, text, starts, _, at in work:
+        mine = tags[at : at + len(starts)]
+        spans = reconcile(starts, mine, text) if mine.any() else []
         added[r] = [s for s in spans if not any(s[1] < e and b < s[2] for _, b, e in base[r])]
     return base, added
