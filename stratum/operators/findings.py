@@ -154,6 +154,14 @@ def conflicts(entries: DataFrame) -> DataFrame:
     return a.join(b, F.expr("a.class = b.class and a.cover = b.cover and a.knowledge < b.knowledge")).select(F.col("a.class").alias("class"), F.col("a.hash").alias("one"), F.col("b.hash").alias("other")).distinct()
 
 
+def conflict_counts(entries: DataFrame) -> DataFrame:
+    """How many pairs `conflicts` has per class, from counts of entries that say the same and cover the same; no pair of entries is made."""
+    kinds = entries.select("class", "hash", "knowledge", F.array_sort(F.array_distinct("covers")).alias("covers")).distinct().groupBy("class", "knowledge", "covers").agg(F.count("*").alias("n"))
+    a, b = kinds.alias("a"), kinds.alias("b")
+    pairs = a.join(b, F.expr("a.class = b.class and a.knowledge < b.knowledge and arrays_overlap(a.covers, b.covers)"))
+    return pairs.groupBy(F.col("a.class").alias("class")).agg(F.sum(F.expr("a.n * b.n")).alias("pairs"))
+
+
 def retract(revisions: DataFrame, citations: DataFrame, finding_id: str, reason: str) -> tuple[DataFrame, DataFrame]:
     """(revisions with a retracted head for the finding, everyone who was served any of its revisions)."""
     own = revisions.where(F.col("finding_id") == finding_id)

@@ -741,6 +741,12 @@ def k13_conflicts(spark, sf):
     return findings.conflicts(entries(spark, sf).where("seq % 50 = 0")).groupBy("class").agg(F.count("*").alias("pairs"))
 
 
+@query()
+def k13_conflicts_all(spark, sf):
+    """Of all orders."""
+    return findings.conflict_counts(entries(spark, sf))
+
+
 @query("""
 WITH a AS (SELECT doc_id, lower(trim(source)) AS topic, regexp_replace(lower(trim(regexp_replace(left(coalesce(text, ''), 60), '[ \t\n\r\f\v]+', ' ', 'g'))), '[ ?.!:;,]+$', '') AS t, 'lang=' || lower(trim(lang)) AS f FROM documents)
 SELECT doc_id, t AS normal, sha256(topic || chr(31) || t || chr(31) || f) AS question_key, sha256(topic || chr(31) || f) AS class FROM a
