@@ -136,7 +136,8 @@ def coverage_gap(needs: Column, covers: Column) -> Column:
 
 def best_partial(questions: DataFrame, entries: DataFrame) -> DataFrame:
     """Per question the entry of its class with the smallest gap that is neither empty nor all of its needs."""
-    d = questions.select("question_key", "class", "needs").join(entries.select("class", "hash", "covers", "seq"), "class").withColumn("gap", coverage_gap(F.col("needs"), F.col("covers")))
+    newest = entries.groupBy("class", "covers").agg(F.max(F.struct("seq", "hash")).alias("e")).select("class", "e.hash", "covers", "e.seq")
+    d = questions.select("question_key", "class", "needs").join(newest, "class").withColumn("gap", coverage_gap(F.col("needs"), F.col("covers")))
     d = d.where("size(gap) > 0 and size(gap) < size(needs)")
     w = Window.partitionBy("question_key").orderBy(F.size("gap"), F.col("seq").desc())
     return d.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("question_key", "hash", "gap")
