@@ -816,7 +816,17 @@ SELECT a.n AS one, b.n AS other FROM n a JOIN n b ON a.n < b.n AND levenshtein(a
 """)
 def k24_near_names(spark, sf):
     """Names of 400 parts, and the same without their last letter: a stated small list that SQL can compare in pairs."""
-    p = table(spark, sf, "part").where("p_partkey <= 400").select("p_name")
+    return _near_part_names(table(spark, sf, "part").where("p_partkey <= 400"))
+
+
+@query()
+def k24_near_names_all(spark, sf):
+    """The same of all parts."""
+    return _near_part_names(table(spark, sf, "part"))
+
+
+def _near_part_names(part):
+    p = part.select("p_name")
     return matching.near_names(p.union(p.select(F.expr("left(p_name, length(p_name) - 1)"))).select(F.col("p_name").alias("name")))
 
 
