@@ -752,7 +752,20 @@ WITH a AS (SELECT doc_id, lower(trim(source)) AS topic, regexp_replace(lower(tri
 SELECT doc_id, t AS normal, sha256(topic || chr(31) || t || chr(31) || f) AS question_key, sha256(topic || chr(31) || f) AS class FROM a
 """)
 def k2_question_keys(spark, sf):
-    text, facets = F.substring(F.coalesce("text", F.lit("")), 1, 60), F.create_map(F.lit("Lang"), F.col("lang"))
+    return _question_keys(spark, sf, F.substring(F.coalesce("text", F.lit("")), 1, 60))
+
+
+@query("""
+WITH a AS (SELECT doc_id, lower(trim(source)) AS topic, regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'))), '[ ?.!:;,]+$', '') AS t, 'lang=' || lower(trim(lang)) AS f FROM documents)
+SELECT doc_id, t AS normal, sha256(topic || chr(31) || t || chr(31) || f) AS question_key, sha256(topic || chr(31) || f) AS class FROM a
+""")
+def k2_question_keys_whole(spark, sf):
+    """Of whole texts."""
+    return _question_keys(spark, sf, F.coalesce("text", F.lit("")))
+
+
+def _question_keys(spark, sf, text):
+    facets = F.create_map(F.lit("Lang"), F.col("lang"))
     return docs(spark, sf).select("doc_id", findings.normalize_text(text).alias("normal"), findings.question_key(F.col("source"), text, facets).alias("question_key"), findings.class_key(F.col("source"), facets).alias("class"))
 
 
