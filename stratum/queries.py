@@ -482,6 +482,16 @@ def q9_multi_hop(spark, sf):
     return red.reduce_ai(with_seq(got, "id"), ADDER, red.numbered_prompt("Add:"), item="n_chars", output="s", fan_in=4)[0].select("s")
 
 
+@query("SELECT sum(c_custkey)::VARCHAR AS s FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 HAVING count(*) > 0")
+def q9_multi_hop_walk(spark, sf):
+    """From one region to its nations and on to their customers, who are not among the vertices and grow from the messages; then a filter and a reduction of what was visited."""
+    v, e = star_schema_graph(spark, sf)
+    v = v.where("id not like 'c%'").withColumn("key", F.lit(None).cast("bigint"))
+    grow = lambda lost: lost.select(F.col("to").alias("id"), F.lit(-1).cast("bigint").alias("hop"), F.substring("to", 2, 20).cast("bigint").alias("key"))
+    got = graph.bsp(v, e, hop_step, seeds="id = 'r1'", directed=True, max_rounds=3, grow=grow).vertices.where("hop >= 0 and key is not null")
+    return red.reduce_ai(with_seq(got, "id"), ADDER, red.numbered_prompt("Add:"), item="key", output="s", fan_in=4)[0].select("s")
+
+
 # 2.7 windows
 
 
