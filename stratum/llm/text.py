@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,11 +33,12 @@ NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
 _RNG = np.random.default_rng(0x5EED)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _MIX = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POW: dict[int, np.ndarray] = {}
+#: Words of more bytes are hashed by BLAKE2b, others by chained mixes of eight bytes.
+LONG = 64
+#: A key for each length, and a mask for the last eight bytes.
+_KEY = _RNG.integers(1, 2**63, LONG + 2, dtype=np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def released(run: Callable) -> Callable:
@@ -56,23 +58,6 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POW.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLAB_BYTES + 1)
-        out = np.ones(size, np.uint64)
-        done = 1
-        while done < size:
-            step = np.uint64(pow(base, done, 1 << 64))
-            take = min(done, size - done)
-            out[done : done + take] = out[:take] * step
-            done += take
-        if n > 4 * SLAB_BYTES:
-            return out
-        _POW[base] = have = out
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))
@@ -123,13 +108,32 @@ def word_spans(data: np.ndarray, offs: np.ndarray, keep: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as one number; behind the end stand zeros."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", buffer=wide, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes, by differences of one running polynomial."""
-    n = len(data)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n)[:n], out=run[1:])
-    back = _powers(_BASE_INV, n + 1)
-    return mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each span's bytes.
+
+    Spans of one length up to eight bytes never share a hash, since `mix` is a
+    bijection; longer ones are chained eight bytes at a time, and those beyond
+    `LONG` bytes take BLAKE2b, so no repeated structure cancels out.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size, at = ends - starts, eights(data)
+    h = mix((at[starts] & _MASK[np.minimum(size, 8)]) ^ _KEY[np.minimum(size, LONG + 1)])
+    live, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        more = at[starts[live] + done] & _MASK[np.minimum(size[live] - done, 8)]
+        h[live] = mix((h[live] + _KEY[done // 8]) * _MIX[done // 8] ^ more)
+        done += 8
+        live = live[size[live] > done]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def hash_words(words: list[str]) -> np.ndarray:
