@@ -6,9 +6,11 @@ by length.  A window takes the largest remainder and then the multiset of other
 remainders whose sum comes closest to the space left: a bitset of reachable
 sums is grown length by length (counts by binary splitting), and the chosen
 counts are read back through the bitsets that were kept.  While more documents
-follow, only windows that fill up are closed.  At a task's end the rest is
-laid end to end and cut freely: full windows, then powers of two, which need no
-padding.
+follow, a window is closed only where the least slack is none, since later
+remainders may fit better.  At a task's end every window takes its closest
+multiset, and the slack that is left is filled by a cut from the front of the
+largest remainder that still waits; the last windows are powers of two, which
+need no padding.
 
 Each task packs its own rows in blocks, so nothing is shuffled and memory is
 bounded by the block and the longest document.  Sequence numbers are the task's
@@ -83,9 +85,7 @@ class Packer:
             self.out.append((doc_id, s, cap, zlib.crc32(raw[4 * s : 4 * (s + cap)]), total, self._next(), 0))
         rest = total % cap
         if rest:
-            self.pool.setdefault(rest, []).append((doc_id, total - rest, bytes(raw[4 * (total - rest) :]), total))
-            self.counts[rest] = self.counts.get(rest, 0) + 1
-            self.waiting += 1
+            self._put((doc_id, total - rest, bytes(raw[4 * (total - rest) :]), total))
 
     def _take(self, length: int) -> tuple:
         self.counts[length] -= 1
@@ -98,6 +98,26 @@ class Packer:
             del self.pool[length]
         return piece
 
+    def _place(self, pieces: list[tuple]) -> None:
+        sequence, at = self._next(), 0
+        for doc_id, start, raw, total in pieces:
+            length = len(raw) // 4
+            self.out.append((doc_id, start, length, zlib.crc32(raw), total, sequence, at))
+            at += length
+
+    def _put(self, piece: tuple) -> None:
+        length = len(piece[2]) // 4
+        self.pool.setdefault(length, []).append(piece)
+        self.counts[length] = self.counts.get(length, 0) + 1
+        self.waiting += 1
+
+    def _front(self, length: int, size: int) -> tuple:
+        """The first size ids of a waiting piece; what remains of it waits on."""
+        doc_id, start, raw, total = self._take(length)
+        if size < length:
+            self._put((doc_id, start + size, raw[4 * size :], total))
+        return doc_id, start, raw[: 4 * size], total
+
     def close_full(self) -> None:
         """Close windows that fill up, largest remainder first, until none does."""
         for largest in sorted(self.counts, reverse=True):
@@ -107,28 +127,24 @@ class Packer:
                 self.counts[largest] += 1
                 if largest + sum(n * c for n, c in chosen.items()) < self.capacity:
                     break
-                sequence, at = self._next(), 0
-                for length, many in [(largest, 1), *chosen.items()]:
-                    for _ in range(many):
-                        doc_id, start, raw, total = self._take(length)
-                        self.out.append((doc_id, start, length, zlib.crc32(raw), total, sequence, at))
-                        at += length
+                self._place([self._take(largest), *(self._take(n) for n, c in chosen.items() for _ in range(c))])
 
     def finish(self) -> None:
-        """Close what fills, then lay the rest end to end: full windows and powers of two."""
+        """Close all that waits: windows by least slack, what is left of each filled by a cut."""
         self.close_full()
-        rest = [self._take(n) for n in sorted(self.counts, reverse=True) for _ in range(self.counts[n])]
-        left = sum(len(p[2]) // 4 for p in rest)
-        space, at, sequence = 0, 0, -1
-        for doc_id, start, raw, total in rest:
-            done, size = 0, len(raw) // 4
-            while done < size:
-                if at == space:
-                    space = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-                    at, sequence = 0, self._next()
-                take = min(size - done, space - at)
-                self.out.append((doc_id, start + done, take, zlib.crc32(raw[4 * done : 4 * (done + take)]), total, sequence, at))
-                done, at, left = done + take, at + take, left - take
+        left = sum(n * c for n, c in self.counts.items())
+        while left:
+            space = min(self.capacity, 1 << (left.bit_length() - 1))
+            largest = max(self.counts)
+            pieces = [self._front(largest, min(largest, space))]
+            slack = space - len(pieces[0][2]) // 4
+            chosen = closest(self.counts, slack)
+            pieces += [self._take(n) for n, c in chosen.items() for _ in range(c)]
+            slack -= sum(n * c for n, c in chosen.items())
+            if slack:  # every waiting piece is longer than what is left
+                pieces.append(self._front(max(self.counts), slack))
+            self._place(pieces)
+            left -= space
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
