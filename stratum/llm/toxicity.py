@@ -1,22 +1,27 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels mark documents.  A word of a toxic training document counts as toxic
-where its document frequency is far higher in toxic than in clean training
-documents; all other words are clean.  On these labelled words a two-state chain
-is trained: a weight per known word, and weights of state pairs, by gradients
-from forward-backward passes.  A document is cut to chains of `CHAIN` words.
-Marginals of all its words (their sum, largest and mean) give the document's
-score through a logistic fit on training documents that the chain has not seen;
-words with a marginal of 0.5 or more are the offending offsets.
+Labels mark documents, so words are labelled first: a word of a toxic training
+document counts as toxic where its document frequency is far higher in toxic
+than in clean training documents (log odds of `MIN_ODDS`); all other words are
+clean.  On these labelled words a two-state chain is trained: weights for a
+word, the word before it and the word after it, weights of state pairs and of
+the first state, by gradients of the log likelihood from forward-backward
+passes (node and pair marginals).  A document is cut to chains of `CHAIN`
+words; the neighbours that weigh on a word are read across the cuts.  Marginals
+of all its words (their sum, largest and mean) give the document's score
+through a logistic fit on training documents that the chain has not seen; words
+with a marginal of 0.5 or more are the offending offsets.
 
 For two states one number per word suffices each way, the ratio of the states'
 messages, so whole slabs are passed over at once.
 
-Training takes at most `TRAIN_DOCS` labelled documents of at most `TRAIN_CHARS`
-characters, those with the smallest hashes of their ids, outside the held-out
-fold; near copies among them count once.  Scoring reads every word of every text.
-Inputs of a score are the text's words alone.  Null and empty texts have no
-words and get the base score; without labels of both kinds every score is 0.
+Training takes about `TRAIN_DOCS` labelled documents of at most `TRAIN_CHARS`
+characters, those whose ids hash under a bound that follows from the number of
+labels, outside the held-out fold; near copies among them count once.  Scoring
+reads every word of every text.  Inputs of a score are the text's words alone.
+Null and empty texts have no words and get the base score; without labels of
+both kinds every score is 0.  Rows with a null id are scored; an id that the
+labels repeat counts as toxic if any of its labels says so.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .storage import sampled
 
-#: Labelled documents that training takes at most, and their length in code points at most.
+#: Labelled documents that training takes, about, and their length in code points at most.
 TRAIN_DOCS = 4000
 TRAIN_CHARS = 40_000
 #: Words in one chain.
@@ -40,7 +46,9 @@ CHAIN = 64
 #: A toxic word: in so many toxic documents at least, and so much likelier there (log).
 MIN_DOCS = 4
 MIN_ODDS = 2.5
-EPOCHS = 40
+EPOCHS = 30
+#: Words that one pass of training takes at a time.
+TRAIN_WORDS = 1 << 16
 
 SCHEMA = "doc_id bigint, score double, predicted int, spans array<struct<byte_start:bigint,byte_end:bigint,marginal:double>>"
 
@@ -53,18 +61,35 @@ def fold(doc_id: Column) -> Column:
 @dataclass
 class Model:
     words: np.ndarray  # sorted hashes
-    weights: np.ndarray
-    other: float  # weight of a word that training has not met
+    weights: np.ndarray  # of the word itself, the one before and the one after: by word number, 0 for others and the last for none
     pairs: np.ndarray  # 2 x 2 log weights of (state, next state)
     start: float
     calibration: np.ndarray
 
+    def odds(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log odds of words from their own and their neighbours' weights."""
+        return unaries(self.weights, neighbours(self.numbers(h), first, self.weights.shape[1] - 1))
+
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Weights of words."""
+        """1 and up for words that training has met, else 0."""
         if not len(self.words):
-            return np.full(len(h), self.other)
+            return np.zeros(len(h), np.int32)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.weights[at], self.other)
+        return np.where(self.words[at] == h, at + 1, 0).astype(np.int32)
+
+
+def neighbours(number: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
+    """The numbers of each word, the one before and the one after it in its row."""
+    out = np.full((3, len(number)), none, np.int32)
+    out[0], out[1, 1:], out[2, :-1] = number, number[:-1], number[1:]
+    inner = first[(first > 0) & (first < len(number))]
+    out[1, first[first < len(number)]] = none
+    out[2, inner - 1] = none
+    return out
+
+
+def unaries(weights: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return weights[0][numbers[0]] + weights[1][numbers[1]] + weights[2][numbers[2]]
 
 
 def _chains(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -76,29 +101,67 @@ def _chains(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     return np.repeat(base, count) + within // CHAIN, within % CHAIN, int(columns.sum())
 
 
-def marginals(unary: np.ndarray, first: np.ndarray, pairs: np.ndarray, start: float) -> np.ndarray:
-    """Probability of the toxic state for each word; unary are the words' log odds."""
+@dataclass
+class Messages:
+    """What forward and backward passes leave, by step and chain: odds of the toxic state."""
+
+    used: np.ndarray  # whether a chain has the step
+    own: np.ndarray  # the words' own odds
+    ahead: np.ndarray  # from the chain's beginning up to the word, itself included
+    back: np.ndarray  # from its end down to the word, itself left out
+
+    def nodes(self) -> np.ndarray:
+        odds = self.ahead * self.back
+        return odds / (1 + odds)
+
+    def pairs(self, a: np.ndarray) -> np.ndarray:
+        """Expected numbers of each (state, next state)."""
+        before, after = self.ahead[:-1], (self.own * self.back)[1:]
+        joint = np.stack([np.full_like(before, a[0, 0]), a[0, 1] * after, a[1, 0] * before, a[1, 1] * before * after])
+        return ((joint / joint.sum(axis=0)) * self.used[1:]).sum(axis=(1, 2)).reshape(2, 2)
+
+
+def messages(unary: np.ndarray, first: np.ndarray, pairs: np.ndarray, start: float) -> tuple[Messages, np.ndarray, np.ndarray]:
+    """The passes over all chains, and each word's step and chain; unary are the words' log odds."""
     n = len(unary)
-    if not n:
-        return np.zeros(0)
     col, step, width = _chains(first, n)
     length = min(CHAIN, int(np.diff(first).max()))
-    e = np.ones((length, width))
-    e[step, col] = np.exp(np.clip(unary, -30, 30))
+    e, used = np.ones((length, width)), np.zeros((length, width), bool)
+    e[step, col], used[step, col] = np.exp(np.clip(unary, -30, 30)), True
     a = np.exp(pairs)
     ahead, back = np.empty_like(e), np.empty_like(e)
     ahead[0] = e[0] * np.exp(start)
     for t in range(1, length):
         ahead[t] = e[t] * (a[0, 1] + a[1, 1] * ahead[t - 1]) / (a[0, 0] + a[1, 0] * ahead[t - 1])
-    # places behind a chain's end carry no weight: their odds stand at what the pairs alone cancel
-    used = np.zeros((length, width), bool)
-    used[step, col] = True
+    # behind a chain's end nothing weighs on it
     back[-1] = 1.0
     for t in range(length - 2, -1, -1):
         m = e[t + 1] * back[t + 1]
         back[t] = np.where(used[t + 1], (a[1, 0] + a[1, 1] * m) / (a[0, 0] + a[0, 1] * m), 1.0)
-    odds = (ahead * back)[step, col]
-    return odds / (1 + odds)
+    return Messages(used, e, ahead, back), step, col
+
+
+def marginals(unary: np.ndarray, first: np.ndarray, pairs: np.ndarray, start: float) -> np.ndarray:
+    """Probability of the toxic state for each word."""
+    if not len(unary):
+        return np.zeros(0)
+    got, step, col = messages(unary, first, pairs, start)
+    return got.nodes()[step, col]
+
+
+def log_likelihood(unary: np.ndarray, first: np.ndarray, y: np.ndarray, pairs: np.ndarray, start: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """Log likelihood of states y, and its gradients by the unaries, the pairs and the start."""
+    got, step, col = messages(unary, first, pairs, start)
+    a = np.exp(pairs)
+    # what normalises a chain: the clean state's forward messages, then both states at its end
+    ends = np.append(step[1:] == 0, True)
+    log_z = np.log1p(got.ahead[step[ends], col[ends]]).sum() + np.log(a[0, 0] + a[1, 0] * got.ahead[:-1])[got.used[1:]].sum()
+    follow = np.flatnonzero(step > 0)
+    seen = np.bincount(2 * y[follow - 1].astype(np.int64) + y[follow], minlength=4).reshape(2, 2)
+    begins = step == 0
+    score = (unary * y).sum() + (pairs * seen).sum() + start * y[begins].sum()
+    p = got.nodes()[step, col]
+    return float(score - log_z), y - p, seen - got.pairs(a), float((y - p)[begins].sum())
 
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,32 +203,37 @@ def _fit_chain(h: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Model:
     y = marked[number] & toxic[row]
     # weights for words in several documents; the others share one
     known = (a + b >= 3) | marked
-    own = np.where(known, np.cumsum(known), 0)[number]
-    size = int(known.sum()) + 1
-    col, step, width = _chains(first, len(h))
-    begins = step == 0
-    follow = np.flatnonzero(~begins)
-    w, pairs, start = np.zeros(size), np.zeros((2, 2)), -2.0
-    w[0] = -2.0
-    base = np.bincount(own, minlength=size)
-    observed = np.bincount(own, weights=y, minlength=size)
-    pair_seen = np.bincount(y[follow - 1] * 2 + y[follow], minlength=4).reshape(2, 2)
-    moment, speed = np.zeros(size + 4), np.zeros(size + 4)
+    own = np.where(known, np.cumsum(known), 0)[number].astype(np.int32)
+    size = int(known.sum()) + 2
+    around = neighbours(own, first, size - 1)
+    del own, number, seen, h
+    y = y.astype(np.int8)
+    # runs of whole documents
+    edges = [0]
+    while edges[-1] < len(first) - 1:
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(first, first[edges[-1]] + TRAIN_WORDS, "right")) - 1))
+    runs = [(first[i : j + 1] - first[i], slice(first[i], first[j])) for i, j in zip(edges[:-1], edges[1:], strict=True) if first[j] > first[i]]
+    w, pairs, start = np.zeros((3, size)), np.zeros((2, 2)), -2.0
+    w[0, 0] = -2.0
+    # a weight's step is taken over the root of how often it is met
+    scale = np.stack([1 / np.sqrt(np.bincount(k, minlength=size) + 1) for k in around]).ravel()
+    words_seen, chains = max(len(y), 1), max(int((-(-np.diff(first) // CHAIN)).sum()), 1)
+    moment, speed = np.zeros(3 * size + 5), np.zeros(3 * size + 5)
     for k in range(1, EPOCHS + 1):
-        p = marginals(w[own], first, pairs, start)
-        g = observed - np.bincount(own, weights=p, minlength=size) - 0.05 * w
-        # expected pairs, from neighbouring marginals and the pair weights
-        q, r = p[follow - 1], p[follow]
-        joint = np.stack([(1 - q) * (1 - r), (1 - q) * r, q * (1 - r), q * r]) * np.exp(pairs).reshape(4, 1)
-        joint /= joint.sum(axis=0)
-        gp = (pair_seen.ravel() - joint.sum(axis=1)) / max(len(follow), 1) * 100 - 0.05 * pairs.ravel()
-        g = np.concatenate([g / np.sqrt(base + 1), gp])
+        g, gp, gs = -0.05 * w, np.zeros((2, 2)), 0.0
+        for own, at in runs:
+            _, u, p, s = log_likelihood(unaries(w, around[:, at]), own, y[at], pairs, start)
+            for j in range(3):
+                g[j] += np.bincount(around[j, at], weights=u, minlength=size)
+            gp, gs = gp + p, gs + s
+        g = np.concatenate([g.ravel() * scale, gp.ravel() / words_seen * 100 - 0.05 * pairs.ravel(), [gs / chains]])
         moment = 0.9 * moment + 0.1 * g
         speed = 0.99 * speed + 0.01 * g * g
         move = 0.3 * (moment / (1 - 0.9**k)) / (np.sqrt(speed / (1 - 0.99**k)) + 1e-6)
-        w += move[:size]
-        pairs += 0.2 * move[size:].reshape(2, 2)
-    return Model(words[known], w[1:], float(w[0]), pairs, start, np.zeros(4))
+        w += move[: 3 * size].reshape(3, size)
+        pairs += 0.2 * move[3 * size : -1].reshape(2, 2)
+        start += 0.2 * float(move[-1])
+    return Model(words[known], w.astype(np.float32), pairs, start, np.zeros(4))
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,7 +263,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Model | None:
     own = [texts[i] for i in keep]
     model = _fit_chain(*_words([t for t, f in zip(own, fresh, strict=True) if not f]), y[~fresh])
     h, first = _words([t for t, f in zip(own, fresh, strict=True) if f])
-    x = document_features(marginals(model.numbers(h), first, model.pairs, model.start), first)
+    x = document_features(marginals(model.odds(h, first), first, model.pairs, model.start), first)
     model.calibration = _fit_logistic(x, y[fresh].astype(float))
     calibration = model.calibration
     # the chain is fitted again on all of them; the logistic fit stays
@@ -206,19 +274,20 @@ def fit(texts: list[str], toxic: list[bool]) -> Model | None:
 
 def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Model | None:
     known = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 0)
-    rows = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_docs).collect()
-    if not rows:
-        return None
-    sample = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in rows], "doc_id bigint, toxic int").dropDuplicates(["doc_id"])
-    got = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * train_docs)
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    share = min(1.0, train_docs / max(known.count(), 1))
+    sample = known.where(sampled(F.xxhash64("doc_id"), share))
+    # of an id that documents repeat one text counts
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
+    got = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     @tx.released
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in rows], [y == 1 for _, y in rows]))], pa.binary())], ["model"])
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], [y == 1 for _, _, y in rows]))], pa.binary())], ["model"])
 
-    # trained in one task, away from the driver; the sample is bounded
-    row = got.select("text", "toxic").coalesce(1).mapInArrow(learn, "model binary").first()
+    # trained in one task, away from the driver; the sample does not grow with the table
+    row = got.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(learn, "model binary").first()
     return pickle.loads(row[0]) if row else None
 
 
@@ -246,7 +315,7 @@ def score_slab(data: np.ndarray, offs: np.ndarray, model: Model | None) -> tuple
         return np.zeros(rows), spans
     low = tx.LOWER[data]
     starts, ends, first = tx.word_spans(low, offs, tx.ALNUM)
-    p = marginals(model.numbers(tx.word_hashes(low, starts, ends)), first, model.pairs, model.start)
+    p = marginals(model.odds(tx.word_hashes(low, starts, ends), first), first, model.pairs, model.start)
     scores = 1 / (1 + np.exp(-np.clip(document_features(p, first) @ model.calibration, -30, 30)))
     hot = np.flatnonzero(p >= 0.5)
     for g, r in zip(hot.tolist(), (np.searchsorted(first, hot, "right") - 1).tolist(), strict=True):
