@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .storage import sampled
 
 # The base patterns, kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -39,7 +40,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Characters of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 32
-#: Documents and windows that training takes at most, and its batches.
+#: Documents (about) and windows (at most) that training takes, and its batches.
 TRAIN_DOCS, TRAIN_WINDOWS, BATCHES, BATCH = 2000, 2000, 320, 64
 EMBED, HIDDEN = 8, 16
 #: What every span that `_read` accepts holds.
@@ -74,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "@" in text:
         out += [(0, m.start(), m.end()) for m in _emails(text)]
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in CARD.finditer(text):
         d = _digits(m[0]) if m.end() - m.start() >= 13 else ""
         if 13 <= len(d) <= 19 and luhn(d):
@@ -355,16 +356,19 @@ def reconcile(starts: np.ndarray, tags: np.ndarray, text: str) -> list[tuple[int
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Per document (`SCHEMA`): base spans and the spans that the tagger adds, in code points."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = own.where("text is not null and length(text) between 1 and 4000 and text rlike '[0-9@]'").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_docs)
+    # equal texts hash alike, so copies count once; the bound on the hash follows from how many there are
+    fit = own.where("text is not null and length(text) between 1 and 4000 and text rlike '[0-9@]'").withColumn("h", F.xxhash64("text"))
+    share = min(1.0, train_docs / max(fit.agg(F.approx_count_distinct("h")).first()[0], 1))
+    sample = fit.where(sampled(F.col("h"), share)).groupBy("h").agg(F.min("text").alias("text"))
 
     @tx.released
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b.column(0).to_pylist()]
+        texts = [t for _, t in sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts).p)], pa.binary())], ["model"])
 
-    # trained in one task, where numpy keeps to one core; the sample is bounded
+    # trained in one task, where numpy keeps to one core; the sample does not grow with the table
     learned = Tagger()
-    row = sample.select("text").coalesce(1).mapInArrow(learn, "model binary").first()
+    row = sample.select("h", "text").coalesce(1).mapInArrow(learn, "model binary").first()
     learned.p = pickle.loads(row[0]) if row else train([]).p  # an empty table may have no task
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # a few thousand numbers
 
