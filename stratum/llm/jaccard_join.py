@@ -31,7 +31,9 @@ driver but counts.
 
 Null and empty texts have the empty set and link with nothing; null ids too.
 Texts of fewer than five words are one shingle, the whole sequence.  Rows that
-repeat an id are each judged by their own text.
+repeat an id are each judged by their own text: where an id has more than one,
+the join runs over numbers of the different (id, text) pairs, in the order of
+their ids, and gives the ids back.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..storage import with_seq
 from . import text as tx
 from .storage import cut
 
@@ -52,24 +56,27 @@ WIDTH = 5
 BUCKET = 1_000_000
 #: Shingles that a task gathers before it sends them.
 FLUSH = 4_000_000
-#: Ids that are sent to all tasks at most (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 4_000_000
+#: Ids that are sent to all tasks at most (some 40 bytes each, 10 MB in all); beyond, the join shuffles.
+BROADCAST_IDS = 250_000
+#: Buckets up to which each holds `BUCKET` shingles; beyond, they hold more, lest each task's rows become too small.
+PLAIN_BUCKETS = 4096
 
 _BLOB = "bucket int, kind int, ids binary, sizes binary, counts binary, tokens binary"
 _SIZE_BLOCK = math.log(4 / 3)
 
 
 def _buckets(total: int) -> int:
-    """A bucket for every million shingles; from four thousand buckets on one for every 32 million more, lest each task's rows become too small."""
-    return max(4, min(-(-total // BUCKET), 4096 + total // (32 * BUCKET)))
+    return max(4, min(-(-total // BUCKET), PLAIN_BUCKETS + total // (32 * BUCKET)))
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, text, and t, a hash of the text."""
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return own.withColumn("t", F.xxhash64("text"))
 
 
 def signatures(own: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, size of its set, and two hashes of the set."""
+    """doc_id, t, size of its set, and two hashes of the set."""
 
     @tx.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +88,9 @@ def signatures(own: DataFrame, width: int = WIDTH) -> DataFrame:
                     h1.append(int(s.sum(dtype=np.uint64)))
                     h2.append(int(tx.mix(s).sum(dtype=np.uint64)))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), signed(h1), signed(h2)], ["doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), signed(h1), signed(h2)], ["doc_id", "t", "n", "h1", "h2"])
 
-    return own.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint")
+    return own.mapInArrow(run, "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint")
 
 
 class _Sender:
@@ -359,14 +366,37 @@ def _links(post: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id (smallest id with an equal set) and component_id."""
-    own = _own(docs, id_col, text_col)
+    """Per document: doc_id, n_shingles, class_id (smallest id with an equal set), component_id, and first: whether this is the row that its component is named after."""
+    return _judged(_own(docs, id_col, text_col), width).drop("t")
+
+
+def _judged(own: DataFrame, width: int) -> DataFrame:
     sigs = cut(signatures(own, width))
+    known = sigs.where("doc_id is not null")
+    if known.groupBy("doc_id").agg((F.min("t") != F.max("t")).alias("many")).where("many").isEmpty():
+        return _components_of(own, sigs, width).withColumn("first", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    # numbers of the (id, text) pairs stand for ids; the smallest number has the smallest id
+    pairs = cut(with_seq(known.select("doc_id", "t").distinct(), "doc_id", "t", name="pair"))
+    numbered = lambda d: d.join(pairs, ["doc_id", "t"], "left")
+    got = _components_of(
+        numbered(own).select(F.col("pair").alias("doc_id"), "text", "t"),
+        cut(numbered(sigs).select(F.col("pair").alias("doc_id"), "t", "n", "h1", "h2")),
+        width,
+    )
+    back = lambda c: pairs.select(F.col("pair").alias(c), F.col("doc_id").alias(f"{c}_back"))
+    got = got.withColumn("first", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    for c in ("doc_id", "class_id", "component_id"):
+        got = got.join(back(c), c, "left").drop(c).withColumnRenamed(f"{c}_back", c)
+    return got.select("doc_id", "t", "n_shingles", "class_id", "component_id", "first")
+
+
+def _components_of(own: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
+    """doc_id, t, n_shingles, class_id, component_id where each id has one text."""
     classes = cut(sigs.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node")))
     total = sigs.agg(F.sum("n")).first()[0] or 0
     out = sigs.join(classes, ["h1", "h2", "n"], "left")
     if total:
-        left = cut(_prefiltered(own, total, width).join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        left = cut(_prefiltered(own.select("doc_id", "text"), total, width).join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
         n_left = left.count()
         left = F.broadcast(left) if n_left <= BROADCAST_IDS else left
 
@@ -378,7 +408,8 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                     flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), tx.list_array(flat, [len(s) for s in sets], pa.int64())], ["node", "tokens"])
 
-        sets = cut(own.join(left, "doc_id", "left_semi").mapInArrow(run, "node bigint, tokens array<bigint>"))
+        one = own.select("doc_id", "text").join(left, "doc_id", "left_semi")
+        sets = cut(one.mapInArrow(run, "node bigint, tokens array<bigint>"))
         kept = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
         post = cut(_index(sets, kept))
         comp = cut(components(_links(post, sets)))
@@ -386,16 +417,23 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     else:
         out = out.withColumn("component", F.lit(None).cast("bigint"))
     some = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("node", "doc_id")).alias("class_id"), F.when(some, F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("node", "doc_id")).alias("class_id"), F.when(some, F.coalesce("component", "node", "doc_id")).alias("component_id"))
+
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The documents without those that another of their component stands for, the one of the smallest id.
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that a smaller id of their component stands for; rows that repeat an id stay once."""
-    found = cut(similarity_components(docs, **options))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = cut(gone)
+    Rows are told apart by id and text; rows that repeat both stay once, the
+    least one by its other columns.  Rows with a null id all stay.
+    """
+    found = cut(_judged(_own(docs, id_col, text_col), width).where(F.col("doc_id").isNotNull()).select("doc_id", "t", "first"))
+    gone = cut(found.where(~F.col("first")).select("doc_id", "t").distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    out = docs.join(gone, "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    t = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), t.alias("t")).join(gone, ["doc_id", "t"], "left_anti")
+    if not found.where("first").groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+        plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        order = F.struct(*[F.col("row")[c] for c in plain])
+        once = d.where("doc_id is not null").groupBy("doc_id", "t").agg(F.min_by("row", order).alias("row"))
+        d = once.select("row").unionByName(d.where("doc_id is null").select("row"))
+    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns])
