@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, fingerprints, jaccard_join, licenses, packing, pii, secrets, token_counts, toxicity
@@ -34,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similarity_components(_table(spark, sf_dir, "documents")).drop("class_id")
+    return jaccard_join.similarity_components(_table(spark, sf_dir, "documents")).drop("class_id", "first")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_turns(chat.canonical_turns(rows)))
+    # records of three layouts in one table
+    deal = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    named = [(0, "role", "role"), (0, "text", "text"), (1, "role", "role"), (1, "text", "content"), (2, "role", "from"), (2, "text", "value")]
+    columns = {new: F.when(functools.reduce(Column.__or__, [deal == k for k, _, n in named if n == new]), F.col(old)) for _, old, new in named}
+    return chat.read_back(chat.format_turns(chat.canonical_turns(rows.select("conv_id", "turn", *[c.alias(n) for n, c in columns.items()]))))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
