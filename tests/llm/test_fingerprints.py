@@ -1,9 +1,12 @@
 import hashlib
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from stratum.llm import fingerprints as fp
+from stratum.llm import queries
 
 
 @pytest.fixture
@@ -14,16 +17,15 @@ def odd(spark):
     )
 
 
-def brute_next(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    return sorted((r[0], r[1] or "", order[(k + 1) % len(order)][1] or "") for k, r in enumerate(order) if True) if None not in [r[0] for r in rows] else [(r[0], r[1] or "", order[(k + 1) % len(order)][1] or "") for k, r in enumerate(order)]
-
-
 def test_next_text(spark, odd):
-    rows = [(r[0], r[1]) for r in odd.collect()]
     got = [tuple(r) for r in fp.with_next(odd).collect()]
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
-    assert sorted(got, key=key) == sorted(brute_next(rows), key=key)
+    assert sorted(r[2] for r in got if r[0] is None) == [""]
+    assert {r[2] for r in got if r[0] == -7} <= {"one two\nthree", "another"} and {r[2] for r in got if r[0] == 6} == {""}
+    assert {r[2] for r in got if r[0] == 2**40} == {"x" * 5000 + "\n" + "é ü " * 900}
+    # of the rows of one id the last is followed by the next id, the others by each other
+    five = [r for r in got if r[0] == 5]
+    assert sorted(r[1] for r in five) == ["another", "one two\nthree", "one two\nthree"]
+    assert sorted(r[2] for r in five)[0] == "" and set(r[2] for r in five) <= {"", "another", "one two\nthree"}
 
 
 def test_next_over_many_cells(spark):
@@ -42,11 +44,50 @@ def test_digests(spark, odd):
     assert fp.fingerprint_edits(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def tree(text):
+    """A plain version: distinct leaves, section nodes, root."""
+    sha = lambda level, t: hashlib.sha256((level + t).encode()).hexdigest()
+    lines = [[sha("l", p) for p in re.findall(fp.PIECE, line)] for line in text.split("\n")]
+    sections, own = [], []
+    for h in [sha("p", "".join(x)) for x in lines]:
+        own.append(h)
+        if h[0] in "01":
+            sections.append(sha("s", "".join(own)))
+            own = []
+    sections += [sha("s", "".join(own))] if own else []
+    return {x for y in lines for x in y}, sections, sha("r", "".join(sections))
+
+
+def test_trees_against_a_plain_version(spark, sf):
+    texts = ["", "\n", "a", "a\n", "d", "x" * 3000 + "dy" * 40, "é ü  中文 day\tby\n\n\ny"] + [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in fp.trees(df, "t").collect():
+        t = texts[r["k"]]
+        leaves, nodes, root = tree(t)
+        assert (set(r["leaves"]), r["nodes"], r["root"]) == (leaves, nodes, root)
+        assert "".join(p for line in t.split("\n") for p in re.findall(fp.PIECE, line)) == t.replace("\n", "")  # the leaves hold every character
+
+
 def test_equal_texts_equal_roots_and_edits_are_located(spark):
     a = "\n".join(f"line number {k} of a text" for k in range(60))
-    b = a.replace("number 17 ", "number seventeen ")
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    r = df.select(fp.differing_paragraphs(F.col("a"), F.col("b")).alias("d"), fp.differing_paragraphs(F.col("a"), F.col("a")).alias("same"), fp.likeness(fp.pieces(F.col("a")), fp.pieces(F.col("b"))).alias("l")).first()
-    assert r["d"] == [17] and r["same"] == [] and 0.9 < r["l"] < 1
-    s = df.select(F.size(F.array_except(fp.section_nodes(F.col("b")), fp.section_nodes(F.col("a")))).alias("n")).first()["n"]
-    assert s <= 2
+    b = a.replace("number 17 ", "number seventeen ").replace("line number 40 of a text\n", "")
+    df = spark.createDataFrame([(a, b, 1), (a, a, 2), (None, "x", 3), (a, "first\n" + a, 4)], "a string, b string, node int")
+    got = {r["node"]: (r["put_in"], r["taken_out"]) for r in fp.differing(df, "a", "b").collect()}
+    assert got == {1: ([17], [17, 40]), 2: ([], []), 3: ([0], [0]), 4: ([0], [])}
+    d = fp.trees(fp.trees(df.where("node = 1"), "a", "a_"), "b", "b_")
+    r = d.select(fp.likeness(F.col("a_leaves"), F.col("b_leaves")).alias("l"), F.size(F.array_except("b_nodes", "a_nodes")).alias("n")).first()
+    assert 0.9 < r["l"] < 1 and r["n"] <= 2
+
+
+def test_a_word_put_in_moves_no_distant_leaf(spark):
+    words = [f"w{k}" + "ady"[k % 3] for k in range(400)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(["new", *words]))], "a string, b string")
+    d = fp.trees(fp.trees(df, "a", "a_"), "b", "b_")
+    assert d.select(fp.likeness(F.col("a_leaves"), F.col("b_leaves"))).first()[0] > 0.98
+
+
+def test_query_equals_sql(spark, sf):
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = {r[0]: tuple(r) for r in c.execute(fp.ORACLE).fetchall()}
+    assert {r[0]: tuple(r) for r in queries.op1_fingerprints(spark, sf).collect()} == want

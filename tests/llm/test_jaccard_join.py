@@ -97,3 +97,37 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (5, 5)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in jj.components(edges).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, 5), (2, b, 1), (2, a + " eight", 2), (3, b, 3), (3, b, 4), (3, b, 3), (4, None, 1), (4, "", 0), (None, a, 1), (None, a, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, t int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.similarity_components(df).collect() if r["doc_id"])
+    assert got == [(1, 3, 1), (2, 2, 2), (2, 4, 1), (3, 2, 2), (3, 2, 2), (3, 2, 2), (4, 0, 4), (4, 0, 4)]
+    kept = sorted(tuple(r) for r in jj.keep_one(df).collect() if r["doc_id"])
+    assert kept == [(1, a, 5), (2, b, 1), (4, None, 1)]
+    assert jj.keep_one(df).where("doc_id is null").count() == 2
+
+
+@pytest.mark.parametrize("limits", [{"BROADCAST_IDS": 0}, {"BUCKET": 200, "PLAIN_BUCKETS": 5, "FLUSH": 300}, {"BUCKET": 3000}])
+def test_limits_change_no_result(spark, sf, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(jj, k, v)
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    check(spark, rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in jj.keep_one(df).collect()} == {k for k, (_, c) in brute(rows).items() if c == k}
+
+
+def test_buckets_grow_without_a_step():
+    sizes = [jj._buckets(t * 10**6) for t in range(1, 5000)]
+    assert all(0 <= b - a <= 1 for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_long_words_of_repeated_structure_differ(spark):
+    s = "0"
+    while len(s) < 2048:
+        s += s.translate(str.maketrans("01", "10"))
+    a, b = s[:1024], s[1024:]
+    check(spark, [(1, f"x {a} y z w v"), (2, f"x {b} y z w v"), (3, f"x {a} y z w v")])

@@ -1,6 +1,7 @@
 """Licences, secrets, decontamination, packing, token counts: against plain versions on small texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,10 +9,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm import decontaminate as dc
 from stratum.llm import licenses as li
 from stratum.llm import packing as pk
+from stratum.llm import queries
 from stratum.llm import secrets as se
 from stratum.llm import text as tx
 from stratum.llm import token_counts as tc
@@ -29,6 +32,14 @@ def frame(spark, texts, **extra):
     return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
 
 
+def thue_morse():
+    """Two long words that sums of powers modulo 2^64 don't tell apart."""
+    s = "0"
+    while len(s) < 2048:
+        s += s.translate(str.maketrans("01", "10"))
+    return s[:1024], s[1024:]
+
+
 def test_words_and_hashes():
     column = pa.array(ODD, pa.string())
     seen = {}
@@ -44,24 +55,78 @@ def test_words_and_hashes():
                 assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
     assert tx.hash_words(list(seen)).tolist() == list(seen.values())
-
-
-def test_licenses(spark, sf):
-    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ODD
+    odd = [*thue_morse(), *("a" * k for k in range(1, 130)), *("a" * k + "b" for k in range(130)), "ab" * 16, "ba" * 16]
+    assert len(set(tx.hash_words(odd).tolist())) == len(odd)
+
+
+def brute_licenses(texts):
+    """Every template at every place of every text, with weights from counts of the texts' words."""
+    words = [WORD.findall(lower(t)) for t in texts]
+    df = {}
+    for w in words:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    idf = lambda x: math.log((len(texts) + 1) / (df.get(x, 0) + 0.5))
+    for w in words:
+        labels, score = set(), 0.0
+        for label, t, must in li.TEMPLATES:
+            t = t.split()
+            weight = [idf(x) for x in t]
+            need = [False] * len(t)
+            for p in must:
+                p = p.split()
+                at = next(i for i in range(len(t)) if t[i : i + len(p)] == p)
+                need[at : at + len(p)] = [True] * len(p)
+            for b in range(-len(t), len(w)):
+                same = [0 <= b + j < len(w) and w[b + j] == x for j, x in enumerate(t)]
+                share = sum(x for x, on in zip(weight, same, strict=True) if on) / sum(weight)
+                if share >= li.SHARE and all(on or not n for on, n in zip(same, need, strict=True)):
+                    labels.add(label)
+                    score = max(score, min(1.0, share))
+        yield w, labels, score
+
+
+def test_licenses(spark, sf, tmp_path):
+    """The registered query's columns against a plain version."""
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts = [t for t in texts if t and len(t) < 2500][:60] + ODD
     texts += ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0. MIT License mit license", "apache. license gnu general public", "Redistribution and use in source and binary forms, with or without modification, are permitted"]
-    got = {r["doc_id"]: r for r in li.scan_licenses(frame(spark, texts)).collect()}
-    for k, t in enumerate(texts):
-        w = WORD.findall(lower(t))
+    texts += ["under the apache license version 2 0", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation", "x " * 40 + "released under the MIT license", "the the license"]
+    frame(spark, texts).withColumn("labels", F.lit(3)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_licenses(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, (w, labels, score) in enumerate(brute_licenses(texts)):
         at = [(i, label) for p, label in li.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         r = got[k]
         assert (r["n_words"], r["n_base"]) == (len(w), len(at))
         assert r["first_word"] == min((i for i, _ in at), default=None) and r["last_word"] == max((i for i, _ in at), default=None)
-        assert r["base_labels"] == ",".join(sorted({x for _, x in at}))
-        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    assert got[len(texts) - 4]["labels"] == "gpl,gpl-3.0" and got[len(texts) - 1]["labels"] == "bsd"
+        base = {x for _, x in at}
+        assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | labels))
+        assert abs(r["score"] - max(score, 1.0 if base else 0.0)) < 1e-9
+    assert got[len(texts) - 8]["labels"] == "gpl,gpl-3.0" and got[len(texts) - 5]["labels"] == "bsd"
     assert li.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_each_licence_text_is_judged_by_itself():
+    texts = ["the mit license", "under the apache license version 2 0", "released", "under the mit license", "licensed", "under the apache license version 2 0", ""]
+    index = li.Index()
+    index.weigh(np.full(len(index.words), 3.0), 100)
+    scan = lambda own: [x for _, _, d, o in tx.slabs(pa.array(own, pa.string())) for x in li.scan_slab(d, o, index)]
+    assert scan(texts) == [scan([t])[0] for t in texts]
+
+
+def test_rare_words_lose_no_template():
+    """Whatever share of a template stands in place, one of its rare words does if that is enough."""
+    r = np.random.default_rng(1)
+    index = li.Index()
+    for _ in range(20):
+        index.weigh(r.integers(0, 1000, len(index.words)).astype(float), 1000)
+        rare = set(zip(*(x.tolist() for x in index.postings), strict=True))
+        for t, weight in enumerate(index.weights):
+            left = sum(w for j, w in enumerate(weight) if (t, j) not in rare)
+            assert left < li.SHARE * weight.sum()
+
+
 def test_secrets(spark, sf):
     assign = re.compile(se.ASSIGN[4:], re.I | re.A)
     texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ODD
@@ -80,13 +145,69 @@ def test_secrets(spark, sf):
     assert "pem" in got[len(texts) - 1]["spans"] and "bare" in got[len(texts) - 1]["spans"]
 
 
-def test_copied_values_are_told_from_owned_ones(spark):
-    rows = [(k, f"token = abcdefgh0001 x{k}", f"s{k}") for k in range(6)] + [(10, "token = zyxwvuts0001", "s1"), (10, "token = zyxwvuts0001", "s1"), (11, None, None)]
+def brute_secrets(rows):
+    """(doc_id, text, owner) rows: base spans, all spans with whether they look live."""
+    assign = re.compile(se.ASSIGN[4:], re.I | re.A)
+    found = []
+    for doc, t, owner in rows:
+        t = t or ""
+        spans = [(m.start(), 0, m.end(), "assign", m[2]) for m in assign.finditer(t) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        other = [(m.start(), 3, m.end(), "pem", m[0]) for m in re.finditer(se.PEM, t)]
+        other += [(m.start(), 4, m.end(), "bare", m[0]) for m in re.finditer(se.BARE, t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(b[0] < m.end() and m.start() < b[2] for b in spans)]
+        found.append((doc, owner or "", sorted(spans), sorted(other)))
+    where = {}
+    for doc, owner, base, other in found:
+        for s in base + other:
+            where.setdefault(s[4], set()).add((owner, doc))
+    live = {v: len({o for o, _ in at}) < se.COPIED_OWNERS and (len({o for o, _ in at}) == 1 or len(at) < se.COPIED_REPOSITORIES) for v, at in where.items()}
+    return [(base, [(*s, live[s[4]]) for s in sorted(base + other)]) for _, _, base, other in found]
+
+
+def test_secrets_of_a_corpus(spark, sf, tmp_path):
+    """The registered query, and redaction, against a plain version."""
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(10**6 + k, f"token = abcdefgh0001 x{k}", f"s{k}") for k in range(6)]  # many owners
+    rows += [(2 * 10**6 + k, "secret: one-owner-many-places-77", "only") for k in range(40)]  # one owner
+    rows += [(3 * 10**6 + k, "Zq9" * 9, "ab"[k % 2]) for k in range(40)] + [(4 * 10**6 + k, "Zq8" * 9, "ab"[k % 2]) for k in range(4)]  # two owners
+    rows += [(5 * 10**6, "token: abcdefgh-one api_key=" + "0f" * 20 + " password=" + "0e" * 18, None), (5 * 10**6 + 1, None, None), (5 * 10**6 + 2, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "bigint(length(text)) as n_chars", "7 as key", "8 as spans", "9 as hit")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_secrets(spark, str(tmp_path)).collect()}
+    text = {r["doc_id"]: r for r in se.redact_secrets(df).collect()}
+    line = lambda spans: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans)
+    for (doc, t, _), (base, every) in zip(rows, brute_secrets(rows), strict=True):
+        r = got[doc]
+        assert r["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[3] == k for s in base) for k in ("assign", "access", "hex")]
+        assert r["spans"] == line([s for s in every if s[1] <= 3 or s[5]])
+        assert (r["n_live"], r["n_copied"]) == (sum(s[5] for s in every), sum(not s[5] for s in every))
+        out, at = "", 0
+        for s in every:
+            if s[5]:
+                if s[0] >= at:
+                    out += t[at : s[0]] + "[secret]"
+                at = max(at, s[2])
+        out = out + t[at:] if any(s[5] for s in every) else t
+        assert text[doc]["text"] == out and text[doc]["n_chars"] == (None if t is None else len(out))
+        assert (text[doc]["key"], text[doc]["spans"], text[doc]["hit"]) == (7, 8, 9)
+    assert got[10**6]["n_copied"] == 1 and got[2 * 10**6]["n_live"] == 1 and got[3 * 10**6]["n_copied"] == 1 and got[4 * 10**6]["n_live"] == 1
+
+
+def test_many_secrets_in_one_text(spark):
+    t = "".join(f"token=abcdefgh{k} " for k in range(30000))
+    r = se.secret_report(spark.createDataFrame([(1, t, "a")], "doc_id bigint, text string, source string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer("token=[a-z0-9]+", t)]
+    assert r["n_assign"] == 30000 and r["base_sha256"] == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, b in want).encode()).hexdigest()
+
+
+def test_rows_that_repeat_are_judged_alike(spark):
+    rows = [(10, "token = zyxwvuts0001", "s1"), (10, "token = zyxwvuts0001", "s1"), (11, None, None), (None, "token = zyxwvuts0002", "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = [(r["doc_id"], r["n_live"], r["n_copied"]) for r in se.secret_report(df).orderBy("doc_id").collect()]
-    assert got == [(k, 0, 1) for k in range(6)] + [(10, 1, 0), (10, 1, 0), (11, 0, 0)]
-    out = {r["doc_id"]: r["text"] for r in se.redact_secrets(df).collect()}
-    assert out[10] == "[secret]" and out[0].startswith("token = abc") and out[11] is None
+    got = sorted((r["doc_id"] or 0, r["n_live"], r["n_copied"]) for r in se.secret_report(df).collect())
+    assert got == [(0, 1, 0), (10, 1, 0), (10, 1, 0), (11, 0, 0)]
+    assert sorted(str(r["text"]) for r in se.redact_secrets(df).collect()) == ["None", "[secret]", "[secret]", "[secret]"]
 
 
 def brute_leaks(text, items, n=10):
@@ -102,34 +223,79 @@ def brute_leaks(text, items, n=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [dc.BLOCK_BYTES, 200])
-def test_decontamination(spark, block):
+def leaky():
     r = random.Random(3)
     v = [f"w{k}" for k in range(12)]
-    items = [(str(k), " ".join(r.choice(v) for _ in range(r.randrange(0, 25)))) for k in range(20)] + [("99", "solo"), ("98", None), ("97", "  ")]
-    texts = ODD + [" ".join(r.choice(v) for _ in range(60)) for _ in range(20)] + [f"x {items[k][1]}, y {items[k + 1][1].upper()}! solo" for k in range(12)] * 2
-    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    items = [(str(k), " ".join(r.choice(v) for _ in range(r.randrange(0, 25)))) for k in range(20)] + [("99", "solo"), ("98", None), ("97", "  "), ("5", "x y z"), (None, "without id")]
+    texts = ODD + [" ".join(r.choice(v) for _ in range(60)) for _ in range(20)] + [f"x {items[k][1]}, y {items[k + 1][1].upper()}! solo" for k in range(12)] * 2 + ["without id, solo"]
+    return items, texts
+
+
+@pytest.mark.parametrize("block, shard", [(dc.BLOCK_BYTES, dc.SHARD_WORDS), (200, 100)])
+def test_decontamination(spark, tmp_path, monkeypatch, block, shard):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", block)
+    items, texts = leaky()
+    docs, bench = frame(spark, texts).withColumn("key", F.lit(1)), spark.createDataFrame(items, "item_id string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    named = [(k or "", t) for k, t in items]
+    if block == dc.find_leaks.__kwdefaults__["block_bytes"]:
+        got = {x["doc_id"]: x for x in queries.op7_decontamination(spark, str(tmp_path)).collect()}
+        for k, t in enumerate(texts):
+            n, hit, found = brute_leaks(t, named)
+            x = got[k]
+            assert (x["n_words"], x["n_hit"], x["n_items"], x["contaminated"]) == (n, hit, len(found), hit > 0)
+            assert x["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
     got = {x["doc_id"]: x for x in dc.find_leaks(docs, bench, block_bytes=block).collect()}
+    column, phrases = pa.array(texts, pa.string()), dc.Phrases([(k or "", t) for k, t in items])
+    n_words, spans, found = dc.scan_batch(column, phrases, shard)
     for k, t in enumerate(texts):
-        n, hit, found = brute_leaks(t, items)
+        n, hit, own = brute_leaks(t, named)
         x = got[k]
-        assert (x["n_words"], sum(s["word_end"] - s["word_start"] for s in x["spans"]), x["items"]) == (n, hit, found)
-    cut = {x["doc_id"]: x["text"] for x in dc.remove_leaks(docs, bench).collect()}
-    assert all(brute_leaks(t, items)[1] == 0 for t in cut.values())
-    assert all(cut[k] == t for k, t in enumerate(texts) if not brute_leaks(t, items)[1])
+        assert (x["n_words"], sum(s["word_end"] - s["word_start"] for s in x["spans"]), x["items"]) == (n, hit, own)
+        assert (n_words[k], sum(s[1] - s[0] for s in spans.get(k, ())), sorted(found.get(k, ()))) == (n, hit, own)
+        for s in x["spans"]:
+            assert len(WORD.findall(lower(t.encode()[s["byte_start"] : s["byte_end"]].decode()))) == s["word_end"] - s["word_start"]
+
+
+def test_removal_is_the_same_for_any_number_of_blocks(spark):
+    items, texts = leaky()
+    items = items[:24] + [(f"b{k}", f"b{k}") for k in range(6)] + [("go", "go end")]
+    texts = texts + ["go b0 b1  b2 b3 end", "go b5 b4 end tail", "b0 b1"]
+    docs = frame(spark, texts).selectExpr("doc_id", "text", "bigint(length(text)) as n_chars", "5 as spans", "6 as key", "doc_id as __key_")
+    docs = docs.union(docs.limit(9))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = lambda d: sorted(map(str, d.collect()))
+    one = dc.remove_leaks(docs, bench)
+    assert one.columns == docs.columns and rows(one) == rows(dc.remove_leaks(docs, bench, block_bytes=60))
+    left = {r["doc_id"]: r for r in one.collect()}
+    for k, t in enumerate(texts):
+        if brute_leaks(t, items)[1]:
+            assert k not in left or not brute_leaks(left[k]["text"], items)[1] and WORD.findall(lower(left[k]["text"])) and left[k]["n_chars"] == len(left[k]["text"])
+        else:
+            assert left[k]["text"] == t  # also texts without words
+    assert len(texts) - 3 not in left and left[len(texts) - 2]["text"].split() == ["tail"]
+
+
+def test_leaks_in_long_words(spark):
+    a, b = thue_morse()
+    items = spark.createDataFrame([("1", a), ("2", "p q")], "item_id string, text string")
+    got = dc.find_leaks(frame(spark, [f"x {b} y", f"x {a} y", "p <|endoftext|> q"]), items).orderBy("doc_id").collect()
+    assert [r["items"] for r in got] == [[], ["1"], []]
 
 
 def test_fm_index():
     r = np.random.default_rng(0)
-    s = r.integers(1, 4, 300)
-    x = dc.FMIndex(s)
-    for m in (1, 2, 5):
-        phrases = np.array([s[k : k + m] for k in range(0, 250, 7)] + [[5] * m])
-        found, lo, hi = x.search(phrases)
-        assert len(phrases) - 1 not in found
-        for k, a, b in zip(found, lo, hi, strict=True):
-            want = [i for i in range(len(s) - m + 1) if (s[i : i + m] == phrases[k]).all()]
-            assert sorted(x.locate(np.arange(a, b)).tolist()) == want
+    for s in (r.integers(1, 4, 300), np.tile([2, 3, 2], 70), np.ones(40, int), np.full(9, 2)):
+        x = dc.FMIndex(s)
+        assert [s.tolist()[i:] + [0] for i in dc.suffix_order(np.append(s, 0))[-1:]] and sorted(dc.suffix_order(np.append(s, 0)).tolist()) == list(range(len(s) + 1))
+        for m in (1, 2, 5):
+            phrases = [p for p in (tuple(s[k : k + m]) for k in range(0, 250, 7)) if len(p) == m and min(p) > 1] + [(5,) * m, (3, 2, 2, 3, 3)[:m]]
+            seq = np.array([c for p in phrases for c in p], np.int32)
+            found, lo, hi = x.search(seq, np.arange(0, len(seq), m), m)
+            places = {k: sorted(x.locate(np.arange(a, b)).tolist()) for k, a, b in zip(found.tolist(), lo, hi, strict=True)}
+            for k, p in enumerate(phrases):
+                assert places.get(k, []) == [i for i in range(len(s) - m + 1) if tuple(s[i : i + m]) == p]
 
 
 @pytest.fixture(scope="module")
@@ -137,12 +303,17 @@ def whole():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tk.default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_pieces_equal_whole_texts(spark, sf, whole):
-    texts = ODD + ["a   b \n c", "  lead", "x    y  z", "é  b 　"] + [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+@pytest.mark.parametrize("slots", [1 << 16, 8])
+def test_pieces_equal_whole_texts(spark, sf, whole, monkeypatch, slots):
+    """Also where pieces push one another out and everything is forgotten again and again."""
+    a, b = thue_morse()
+    texts = ODD + [a, b, f"{a} {b} {a}", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y<|endoftext|", "a   b \n c", "  lead", "x    y  z", "é  b 　"] + [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    monkeypatch.setattr(tk, "SLOTS", slots)
+    monkeypatch.setattr(tk, "KEPT_IDS", 20 * slots)
+    monkeypatch.setattr(tk, "KEPT_BYTES", 40 * slots)
     e = tk.PieceTokenizer(tk.default_path())
     for _ in range(2):
         for lo, hi, data, offs in tx.slabs(pa.array(texts, pa.string()), 5000):
@@ -153,7 +324,7 @@ def test_pieces_equal_whole_texts(spark, sf, whole):
 
 def test_packing(spark, sf, whole):
     texts = ODD + [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(150).collect()]
-    rows = pk.pack(frame(spark, texts), block=40).collect()
+    rows = pk.pack(frame(spark, texts).selectExpr("*", "1 as start", "2 as ids"), block=40).collect()
     for k, t in enumerate(texts):
         ids = [*whole(t), 0]
         own = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["start"])
@@ -185,12 +356,38 @@ def test_closest():
         assert all(c <= counts[n] for n, c in got.items())
 
 
-def test_token_counts(spark, whole):
-    texts = ODD + ["one\ntwo\n\nthree é\n", "x\n\n\n\ny", "a\nb"]
-    got = {r["doc_id"]: r for r in tc.count_tokens(frame(spark, texts)).collect()}
+def test_token_counts(spark, whole, tmp_path):
+    """The registered query: every token's bytes against every line's."""
+    texts = ODD + ["one\ntwo\n\nthree é\n", "x\n\n\n\ny", "a\nb", "a <|endoftext|>\n\n\n  b"]
+    frame(spark, texts).selectExpr("*", "1 as n_tokens", "2 as starts").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    ranks, added = tk.vocabulary(tk.default_path())
+    size = {i: len(t) for t, i in ranks.items()} | {i: len(t.encode()) for t, i in added.items()}
     for k, t in enumerate(texts):
-        r, lines = got[k], (t or "").split("\n")
-        assert r["n_tokens"] == len(whole(t)) == sum(r["section_tokens"])
-        assert r["n_chars"] == len(t or "")
-        assert r["n_sections"] == len(lines) - (lines[-1] == "") == len(r["section_tokens"])
-    assert got[len(texts) - 2]["n_crossing"] == 0 or got[len(texts) - 2]["n_sections"] == 5
+        raw = (t or "").encode()
+        lines = [x for x in re.split(b"(?<=\n)", raw) if x]
+        bounds = np.cumsum([0, *map(len, lines)])
+        own, crossing, at = [0] * len(lines), 0, 0
+        for i in whole(t):
+            shares = [min(at + size[i], b) - max(at, a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            own[max(range(len(lines)), key=lambda j: (shares[j], -j))] += 1
+            crossing += sum(x > 0 for x in shares) > 1
+            at += size[i]
+        r = got[k]
+        assert (r["n_chars"], r["n_tokens"], r["n_sections"], r["n_crossing"]) == (len(t or ""), len(whole(t)), len(lines), crossing)
+        assert r["section_tokens"] == own and r["largest_section"] == max(own, default=0)
+    assert any(r["n_crossing"] for r in got.values())
+    assert tc.count_tokens(frame(spark, [])).count() == 0
+
+
+def test_packing_takes_the_least_slack():
+    """Remainders of 1000, 20, 4 and 3 fill 1024 without a cut; what can't fill is cut once a window."""
+    packer = pk.Packer(0)
+    for k, n in enumerate((3, 1000, 20, 4, 1000, 1000)):
+        packer.add(k, np.zeros(n, np.int64))
+    packer.finish()
+    by = {}
+    for doc, _, length, _, _, sequence, _ in packer.out:
+        by.setdefault(sequence, []).append((doc, length))
+    assert sorted(map(sorted, by.values()))[0] == [(1, 1000), (2, 20), (3, 4)] or [(2, 20), (3, 4)] in [sorted(x for x in v if x[1] < 1000) for v in by.values()]
+    assert sum(n for v in by.values() for _, n in v) == 3027 and all((t := sum(n for _, n in v)) & (t - 1) == 0 for v in by.values())
