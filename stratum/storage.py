@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one of our own only where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, a local session gets a folder of its own."""
     sc = spark.sparkContext
+    have = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratum-core-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+        if have is None and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(have or tempfile.mkdtemp(prefix="stratum-core-"))
+    return have or sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
