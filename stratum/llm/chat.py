@@ -42,6 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import mapped
+
 LEARNED_ROLE = "assistant"
 
 
@@ -203,4 +205,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row(), kinds, strict=True)], names)
 
     own = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return own.select("conv_id", "piece", "mask_start", "mask_end").mapInArrow(run, REPORT)
+    return mapped(own.select("conv_id", "piece", "mask_start", "mask_end"), run, REPORT)

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .storage import cut
+from .storage import cut, mapped
 
 #: Words in a window.
 WINDOW = 10
 #: Bytes of item text that one pass searches for.  A word takes some 16 bytes of a broadcast, so 4 MB of text make 12 MB, or 32 MB were all words one letter.
 BLOCK_BYTES = 4 << 20
 #: Words in one index.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Suffix positions kept: one in so many.
 SAMPLE = 8
 
@@ -293,7 +293,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
     )
-    merged = merged.select("doc_id", "key", "n_words", "items", "spans").mapInArrow(_merged, merged.schema)
+    merged = mapped(merged.select("doc_id", "key", "n_words", "items", "spans"), _merged, merged.schema)
     keys = own.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     return keys.alias("k").join(merged.alias("m"), F.expr("k.doc_id <=> m.doc_id and k.key = m.key"), "left").select("k.doc_id", *["k.key"] * with_key, "m.n_words", "m.items", "m.spans")
 
@@ -337,7 +337,7 @@ def _one_pass(own: DataFrame, phrases: Phrases) -> DataFrame:
                 ["doc_id", "key", "n_words", "items", "spans"],
             )
 
-    return own.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, SCHEMA.replace("n_words", "key bigint, n_words", 1))
+    return mapped(own.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))), run, SCHEMA.replace("n_words", "key bigint, n_words", 1))
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -393,7 +393,7 @@ def remove_leaks(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, blo
                 arrays[c] = pc.replace_with_mask(b.column(c), pa.array(hit), pa.array([len(t) for t in new], b.column(c).type))
             yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _remove_by_rounds(docs: DataFrame, bench: DataFrame, window: int, block_bytes: int) -> DataFrame:
@@ -413,7 +413,7 @@ def _remove_by_rounds(docs: DataFrame, bench: DataFrame, window: int, block_byte
         found = find_leaks(todo.select("doc_id", "text"), bench, window=window, block_bytes=block_bytes, with_key=True).where(F.size("spans") > 0)
         found = found.dropDuplicates(["doc_id", "key"])
         one = own.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.__key = f.key"), "left")
-        done = cut(one.select(*[F.col(f"d.`{c}`") for c in names], F.col("f.spans").alias("__spans")).mapInArrow(without, schema))
+        done = cut(mapped(one.select(*[F.col(f"d.`{c}`") for c in names], F.col("f.spans").alias("__spans")), without, schema))
         if "n_chars" in names:
             kind = docs.schema["n_chars"].dataType
             done = done.withColumn("n_chars", F.when(F.col("__hit"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

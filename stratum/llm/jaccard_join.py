@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from ..storage import with_seq
 from . import text as tx
-from .storage import cut
+from .storage import cut, mapped
 
 WIDTH = 5
 #: Shingles in one bucket, about.
@@ -90,7 +90,7 @@ def signatures(own: DataFrame, width: int = WIDTH) -> DataFrame:
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), signed(h1), signed(h2)], ["doc_id", "t", "n", "h1", "h2"])
 
-    return own.mapInArrow(run, "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint")
+    return mapped(own, run, "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint")
 
 
 class _Sender:
@@ -243,8 +243,8 @@ def _prefiltered(own: DataFrame, total: int, width: int) -> DataFrame:
         keep = np.unique(rows[0][shared >= np.maximum(1, rows[1] // 12 - 2)])
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], ["doc_id"])
 
-    told = _dealt(own.where("doc_id is not null").mapInArrow(send, _BLOB), buckets).mapInArrow(count, _Returner.schema)
-    return told.repartition(buckets, "part").mapInArrow(decide, "doc_id bigint")
+    told = mapped(_dealt(mapped(own.where("doc_id is not null"), send, _BLOB), buckets), count, _Returner.schema)
+    return mapped(told.repartition(buckets, "part"), decide, "doc_id bigint")
 
 
 def _index(sets: DataFrame, total: int) -> DataFrame:
@@ -289,8 +289,8 @@ def _index(sets: DataFrame, total: int) -> DataFrame:
             at = on[lo : lo + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), pa.array(owner[at], pa.int64()), *(pa.array(x[at], pa.int32()) for x in (n, c, pos))], ["key", "node", "n", "c", "pos"])
 
-    told = _dealt(sets.mapInArrow(send, _BLOB), buckets).mapInArrow(keys, _Returner.schema)
-    return told.repartition(buckets, "part").mapInArrow(lists, "key bigint, node bigint, n int, c int, pos int")
+    told = mapped(_dealt(mapped(sets, send, _BLOB), buckets), keys, _Returner.schema)
+    return mapped(told.repartition(buckets, "part"), lists, "key bigint, node bigint, n int, c int, pos int")
 
 
 def _fits(a: str, b: str) -> str:
@@ -409,7 +409,7 @@ def _components_of(own: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), tx.list_array(flat, [len(s) for s in sets], pa.int64())], ["node", "tokens"])
 
         one = own.select("doc_id", "text").join(left, "doc_id", "left_semi")
-        sets = cut(one.mapInArrow(run, "node bigint, tokens array<bigint>"))
+        sets = cut(mapped(one, run, "node bigint, tokens array<bigint>"))
         kept = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
         post = cut(_index(sets, kept))
         comp = cut(components(_links(post, sets)))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .storage import mapped
 
 # The phrases whose places are counted, with their labels.
 BASE = {
@@ -171,7 +172,7 @@ def document_frequencies(own: DataFrame, index: Index) -> tuple[np.ndarray, int]
                 df += np.bincount(own % len(df), minlength=len(df))
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(df)), pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["word", "df"])
 
-    got = {r[0]: r[1] for r in own.mapInArrow(run, "word int, df bigint").groupBy("word").agg(F.sum("df")).collect()}
+    got = {r[0]: r[1] for r in mapped(own, run, "word int, df bigint").groupBy("word").agg(F.sum("df")).collect()}
     return np.array([got.get(k, 0) for k in range(len(index.words))], float), got.get(-1, 0)
 
 
@@ -235,4 +236,4 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             cols[-1] = [[{"label": a, "start": s, "score": v} for a, s, v in x] for x in cols[-1]]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return own.mapInArrow(run, SCHEMA)
+    return mapped(own, run, SCHEMA)

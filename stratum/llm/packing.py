@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from . import tokens as tk
+from .storage import mapped
 
 CAPACITY = 1024
 END_ID = 0
@@ -177,4 +178,4 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         packer.finish()
         yield from flush()
 
-    return own.mapInArrow(run, SCHEMA)
+    return mapped(own, run, SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .storage import sampled
+from .storage import mapped, sampled
 
 # The base patterns, kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -368,7 +368,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # trained in one task, where numpy keeps to one core; the sample does not grow with the table
     learned = Tagger()
-    row = sample.select("h", "text").coalesce(1).mapInArrow(learn, "model binary").first()
+    row = mapped(sample.select("h", "text").coalesce(1), learn, "model binary").first()
     learned.p = pickle.loads(row[0]) if row else train([]).p  # an empty table may have no task
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # a few thousand numbers
 
@@ -382,7 +382,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 base, added = find_slab(data, offs, model)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(list(map(as_rows, base)), pa.list_(span)), pa.array(list(map(as_rows, added)), pa.list_(span))], ["doc_id", "base", "added"])
 
-    return own.mapInArrow(run, SCHEMA)
+    return mapped(own, run, SCHEMA)
 
 
 def find_slab(data: np.ndarray, offs: np.ndarray, model: Tagger) -> tuple[list[list], list[list]]:

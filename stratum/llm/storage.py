@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -23,6 +25,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return have or jsc.getCheckpointDir().get()
 
 
+#: Bytes of an Arrow batch, unless the session sets its own bound: a worker holds one at a time, and the executor's JVM one for each task.
+BATCH_BYTES = 8 << 20
+_BOUND, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+
+
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches that are bounded by bytes, however long their rows are."""
+    conf = df.sparkSession.conf
+    if conf.get(_BOUND, _DEFAULT).rstrip("b") == _DEFAULT:
+        conf.set(_BOUND, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed now and kept in the shared folder: it is computed once and survives lost executors."""
     checkpoint_dir(df.sparkSession)

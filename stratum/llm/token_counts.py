@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from . import tokens as tk
+from .storage import mapped
 
 SCHEMA = "doc_id bigint, n_chars bigint, n_tokens bigint, n_sections bigint, n_crossing bigint, largest_section bigint, section_tokens array<int>"
 
@@ -61,4 +62,4 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 cols = [np.diff(chars[offs]), np.diff(first), sections, np.diff(inside[first]), largest]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in cols), tx.list_array(own, sections, pa.int32())], [f.split()[0] for f in SCHEMA.split(", ")])
 
-    return own.mapInArrow(run, SCHEMA)
+    return mapped(own, run, SCHEMA)

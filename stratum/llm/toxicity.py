@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .storage import sampled
+from .storage import mapped, sampled
 
 #: Labelled documents that training takes, about, and their length in code points at most.
 TRAIN_DOCS = 4000
@@ -287,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], [y == 1 for _, _, y in rows]))], pa.binary())], ["model"])
 
     # trained in one task, away from the driver; the sample does not grow with the table
-    row = got.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(learn, "model binary").first()
+    row = mapped(got.select("doc_id", "text", "toxic").coalesce(1), learn, "model binary").first()
     return pickle.loads(row[0]) if row else None
 
 
@@ -305,7 +305,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAI
                 scores, spans = score_slab(data, offs, model)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(span))], ["doc_id", "score", "predicted", "spans"])
 
-    return own.mapInArrow(run, SCHEMA)
+    return mapped(own, run, SCHEMA)
 
 
 def score_slab(data: np.ndarray, offs: np.ndarray, model: Model | None) -> tuple[np.ndarray, list[list[dict]]]:
@@ -335,4 +335,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if scores:
                 yield b.filter(pa.array(np.concatenate(scores) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
