@@ -1,4 +1,4 @@
-"""The twelve conditions, two-valued: an absent or null field renders as empty and never makes a condition null."""
+"""The twelve conditions over rendered values, case-sensitive and two-valued: an absent or null field renders as empty and never makes a condition null."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ from .values import render, strip
 OPS = ("is", "is-not", "contains", "not-contains", "non-empty", "empty", "exists", "missing", "gt", "gte", "lt", "lte")
 
 
+def number(text: Column) -> Column:
+    """A decimal number, infinity or NaN, with blanks around it; null for any other text."""
+    form = r"(?i)^\s*[+-]?(\d+(\.\d*)?(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+    return F.when(text.rlike(form), F.trim(text).try_cast("double"))
+
+
 @dataclass(frozen=True)
 class Cond:
     field: str
@@ -38,12 +44,9 @@ class Cond:
             same = text == F.lit(self.value)
             return same if self.op == "is" else ~same
         if self.op in ("contains", "not-contains"):
-            if isinstance(kind, T.ArrayType):
-                has = F.coalesce(F.exists(raw, lambda x: F.lower(render(x, kind.elementType)).contains(self.value.lower())), F.lit(False))
-            else:
-                has = F.lower(text).contains(self.value.lower())
+            has = text.contains(self.value)
             return has if self.op == "contains" else ~has
-        a, b = text.try_cast("double"), F.lit(self.value).try_cast("double")
+        a, b = number(text), number(F.lit(self.value))
         both = a.isNotNull() & b.isNotNull()
         compare = {"gt": lambda x, y: x > y, "gte": lambda x, y: x >= y, "lt": lambda x, y: x < y, "lte": lambda x, y: x <= y}[self.op]
         return F.when(both, compare(a, b)).otherwise(compare(text, F.lit(self.value)))

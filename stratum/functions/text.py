@@ -52,13 +52,18 @@ def pseudonym(name: Column, salt: str) -> Column:
     return F.concat(F.lit("TM-"), F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.lower(F.trim(name))).cast("binary"), 256), 1, 4))
 
 
+# Fixed value: a line's clock, if it has one, and its speaker: up to 60 characters before the first colon, which white space follows.
+SPEAKER = r"^((?:[0-9]{1,2}:[0-9]{2}[\t\n\f\r ]+)?)([^:\n]{1,60}):([\t\n\f\r ])"
+
+
 def pseudonymize_speakers(df: DataFrame, text_col: str) -> DataFrame:
-    """A leading `name:` of each line becomes S1, S2, ... by first appearance within the record.  No shuffle."""
-    name = r"^([A-Za-z][A-Za-z .'-]{0,40}):"
-    lines = F.split(F.col(text_col), "\n")
-    names = F.array_distinct(F.filter(F.transform(lines, lambda s: F.regexp_extract(s, name, 1)), lambda s: s != ""))
-    one = lambda s: F.when(
-        F.regexp_extract(s, name, 1) != "",
-        F.concat(F.lit("S"), F.array_position("__names", F.regexp_extract(s, name, 1)).cast("string"), F.substr(s, F.length(F.regexp_extract(s, name, 1)) + 1)),
-    ).otherwise(s)
-    return df.withColumn("__names", names).withColumn(text_col, F.array_join(F.transform(lines, one), "\n")).drop("__names")
+    """The speaker that begins a line becomes S1, S2, ... by first appearance within the record; a clock before it stays.  No shuffle."""
+    lines = F.split(F.col(text_col), "\n", -1)
+    parts = F.transform(lines, lambda s: F.struct(s.alias("line"), F.regexp_extract(s, SPEAKER, 1).alias("clock"), F.regexp_extract(s, SPEAKER, 2).alias("name")))
+    d = df.withColumn("__parts", parts)
+    names = F.array_distinct(F.transform(F.filter("__parts", lambda p: p["name"] != ""), lambda p: F.trim(p["name"])))
+    one = lambda p: F.when(
+        p["name"] != "",
+        F.concat(p["clock"], F.lit("S"), F.array_position("__names", F.trim(p["name"])).cast("string"), F.substr(p["line"], F.length(p["clock"]) + F.length(p["name"]) + 1)),
+    ).otherwise(p["line"])
+    return d.withColumn("__names", names).withColumn(text_col, F.array_join(F.transform("__parts", one), "\n")).drop("__names", "__parts")

@@ -72,20 +72,25 @@ def _priced(stage: StageProjection, model: Model, max_tokens: int, ratio: float,
     if model.requests_per_minute:
         minutes = stage.calls / model.requests_per_minute
     if model.tokens_per_minute:
-        minutes = max(minutes, (stage.prompt_tokens + stage.expected_output) / model.tokens_per_minute)
+        minutes = max(minutes, (stage.prompt_tokens + stage.ceiling_output) / model.tokens_per_minute)
     stage.floor_seconds = 60 * minutes
     return stage
 
 
-def project_infer(df: DataFrame, name: str, model: Model, prompt: str, *, prefix: str = "", max_tokens: int = 1024, batch: int = 1, ratio: float = EXPECTED) -> StageProjection:
-    """Calls and tokens of an inference stage over its real records, without a call."""
+def project_infer(df: DataFrame, name: str, model: Model, prompt: str, *, prefix: str = "", system: str = "", max_tokens: int = 1024, batch: int = 1, ratio: float = EXPECTED, cache: bool = True) -> StageProjection:
+    """Calls and tokens of an inference stage over its real records, without a call.
+
+    What all calls share (system prompt and prefix) is cached where the stage
+    has more than one task; a stage of one task pays for it with every call.
+    """
     tokens = estimate_tokens(compile_template(prompt, df.schema))
     n, fresh = df.agg(F.count("*"), F.coalesce(F.sum(tokens), F.lit(0))).first()
-    shared = len(prefix.encode()) // 4 + 1 if prefix else 0
-    write, read = (shared, shared * (n - 1)) if n > 1 else (0, 0)
-    if n == 1:
-        fresh += shared
-    return _priced(StageProjection(name, records=n, tasks=-(-n // batch), calls=n), model, max_tokens, ratio, int(fresh), read, write)
+    tasks = -(-n // max(batch, 1))
+    shared = sum(len(t.encode()) // 4 + 1 for t in (system, prefix) if t)
+    write, read = (shared, shared * (n - 1)) if tasks > 1 and cache else (0, 0)
+    if not write:
+        fresh += shared * n
+    return _priced(StageProjection(name, records=n, tasks=tasks, calls=n), model, max_tokens, ratio, int(fresh), read, write)
 
 
 def project_reduce(n: int, name: str, model: Model, *, item_tokens: float, prompt_tokens: int = 0, fan_in: int = 8, max_tokens: int = 1024, ratio: float = EXPECTED) -> StageProjection:

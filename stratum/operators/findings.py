@@ -20,13 +20,14 @@ def normalize_text(text: Column) -> Column:
 
 
 def normalize_facets(facets: Column) -> Column:
-    """Sorted `key=value` texts, lower case and trimmed."""
-    pairs = F.transform(F.map_entries(facets), lambda e: F.concat(F.lower(F.trim(e["key"])), F.lit("="), F.lower(F.trim(e["value"]))))
+    """Sorted `key=value` texts, lower case and trimmed; empty keys go."""
+    named = F.filter(F.map_entries(facets), lambda e: F.trim(e["key"]) != "")
+    pairs = F.transform(named, lambda e: F.concat(F.lower(F.trim(e["key"])), F.lit("="), F.lower(F.trim(e["value"]))))
     return F.coalesce(F.array_sort(pairs), F.array().cast("array<string>"))
 
 
 def normalize_needs(needs: Column) -> Column:
-    return F.coalesce(F.array_sort(F.array_distinct(F.transform(needs, lambda x: F.lower(F.trim(x))))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform(needs, lambda x: F.lower(F.trim(x))), lambda x: x != ""))), F.array().cast("array<string>"))
 
 
 def question_key(topic: Column, text: Column, facets: Column) -> Column:
@@ -148,19 +149,27 @@ def merge_answers(partial: Column, fresh: Column) -> Column:
     return F.map_from_entries(F.concat(F.filter(F.map_entries(partial), lambda e: ~F.map_contains_key(fresh, e["key"])), F.map_entries(fresh)))
 
 
+def claims(entries: DataFrame) -> DataFrame:
+    """One live claim per class and knowledge: of the current revisions that are not retracted the newest."""
+    live = live_heads(entries)
+    return live.groupBy("class", "knowledge").agg(F.max(F.struct("seq", "hash", "covers")).alias("e")).select("class", "knowledge", "e.hash", "e.seq", "e.covers")
+
+
 def conflicts(entries: DataFrame) -> DataFrame:
-    """Pairs of one class that say different things about something that both cover; joined by (class, covered name)."""
-    each = entries.select("class", "hash", "knowledge", F.explode("covers").alias("cover"))
+    """Pairs of claims of one class that say different things about something that both cover; joined by (class, covered name)."""
+    each = claims(entries).select("class", "hash", "seq", "knowledge", F.explode("covers").alias("cover"))
     a, b = each.alias("a"), each.alias("b")
-    return a.join(b, F.expr("a.class = b.class and a.cover = b.cover and a.knowledge < b.knowledge")).select(F.col("a.class").alias("class"), F.col("a.hash").alias("one"), F.col("b.hash").alias("other")).distinct()
+    newer = "(a.seq > b.seq or a.seq = b.seq and a.hash > b.hash)"
+    return a.join(b, F.expr(f"a.class = b.class and a.cover = b.cover and a.knowledge <> b.knowledge and {newer}")).select(F.col("a.class").alias("class"), F.col("a.hash").alias("one"), F.col("b.hash").alias("other")).distinct()
 
 
 def conflict_counts(entries: DataFrame) -> DataFrame:
-    """How many pairs `conflicts` has per class, from counts of entries that say the same and cover the same; no pair of entries is made."""
-    kinds = entries.select("class", "hash", "knowledge", F.array_sort(F.array_distinct("covers")).alias("covers")).distinct().groupBy("class", "knowledge", "covers").agg(F.count("*").alias("n"))
+    """How many pairs `conflicts` has per class, from counts of claims that cover the same; no pair of claims is made."""
+    kinds = claims(entries).select("class", F.array_sort(F.array_distinct("covers")).alias("covers")).where("size(covers) > 0").groupBy("class", "covers").agg(F.count("*").alias("n"))
     a, b = kinds.alias("a"), kinds.alias("b")
-    pairs = a.join(b, F.expr("a.class = b.class and a.knowledge < b.knowledge and arrays_overlap(a.covers, b.covers)"))
-    return pairs.groupBy(F.col("a.class").alias("class")).agg(F.sum(F.expr("a.n * b.n")).alias("pairs"))
+    pairs = a.join(b, F.expr("a.class = b.class and arrays_overlap(a.covers, b.covers) and a.covers <= b.covers"))
+    n = F.expr("case when a.covers = b.covers then (a.n * (a.n - 1)) div 2 else a.n * b.n end")
+    return pairs.groupBy(F.col("a.class").alias("class")).agg(F.sum(n).alias("pairs")).where("pairs > 0")
 
 
 def retract(revisions: DataFrame, citations: DataFrame, finding_id: str, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -174,13 +183,18 @@ def retract(revisions: DataFrame, citations: DataFrame, finding_id: str, reason:
 
 
 def learned_threshold(verdicts: DataFrame, start: float = NEAR_THRESHOLD) -> DataFrame:
-    """Per entry its threshold after its verdicts in order: an accepted similarity lowers it (not under 0.80), a rejected one raises it over itself."""
+    """Per entry its threshold after its verdicts in order.
+
+    An accepted similarity under it lowers it (not under 0.80); a rejected one
+    at or over it raises it just above.  Similarities outside (0, 1] teach
+    nothing, nor do those on the side that the threshold already decides.
+    """
     own = F.array_sort(F.collect_list(F.struct("decided", "similarity", "ok")))
 
     def step(t: Column, v: Column) -> Column:
-        down = F.least(t, F.greatest(v["similarity"], F.lit(LEAST_THRESHOLD)))
-        up = F.greatest(t, F.least(v["similarity"] + 0.01, F.lit(1.0)))
-        return F.when(v["ok"], down).otherwise(up)
+        s = v["similarity"]
+        down, up = F.greatest(s, F.lit(LEAST_THRESHOLD)), F.least(s + 0.01, F.lit(1.0))
+        return F.when((s <= 0) | (s > 1) | (v["ok"] == (s >= t)), t).when(v["ok"], down).otherwise(up)
 
     return verdicts.groupBy("hash").agg(F.aggregate(own, F.lit(start), step).alias("threshold"))
 

@@ -88,8 +88,10 @@ def bsp(vertices: DataFrame, edges: DataFrame, step: Callable[[DataFrame, int],
     vertices with Inbox (bodies in canonical order) and Senders, and returns (changed vertices,
     messages).  seen: an expression for a vertex's state; a vertex whose (state,
     inbox) has been run before is not run again.  A message to a vertex that is
-    not there grows one, or is dropped and counted.  Loops end lineage each
-    round in the shared folder.
+    not there grows one, or is dropped and counted.  Messages over an inbox's cap
+    and those of vertices over the frontier's count as truncated; a vertex's
+    senders stand beside its bodies, one for one.  Loops end lineage each round
+    in the shared folder.
     """
     check_vertices(vertices)
     names = vertices.columns
@@ -122,16 +124,16 @@ def bsp(vertices: DataFrame, edges: DataFrame, step: Callable[[DataFrame, int],
         mail = mail.join(vertices.select(F.col("id").alias("to")), "to", "left_semi")
         if max_inbox:
             kept, over = cap(mail, max_inbox)
-            r.dropped += over.count()
+            r.truncated += over.count()
             mail = kept
         box = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), F.col("from"), F.col("body"))))
         inbox = mail.groupBy("to").agg(F.filter(box, lambda m: m["body"] != "").alias("box"), F.max("rank").alias("best"))
-        inbox = inbox.select(F.col("to").alias("id"), F.transform("box", lambda m: m["body"]).alias("Inbox"), F.array_distinct(F.transform("box", lambda m: m["from"])).alias("Senders"), "best")
+        inbox = inbox.select(F.col("to").alias("id"), F.transform("box", lambda m: m["body"]).alias("Inbox"), F.transform("box", lambda m: m["from"]).alias("Senders"), "best")
         r.delivered = mail.where("body <> ''").count()
         if max_frontier:
-            total = inbox.count()
             inbox = inbox.orderBy(F.col("best").desc(), "id").limit(max_frontier)
-            r.truncated = max(0, total - max_frontier)
+            went = inbox.agg(F.coalesce(F.sum(F.size("Inbox")), F.lit(0))).first()[0]
+            r.truncated, r.delivered = r.truncated + r.delivered - went, went
         active = vertices.join(inbox.drop("best"), "id").withColumn("__key", F.sha2(F.concat_ws("\x1f", "id", state, F.to_json("Inbox")).cast("binary"), 256))
         active = materialize(active)
         if past is not None:

@@ -42,8 +42,9 @@ class InferSpec:
 
 
 def json_object(text: Column) -> Column:
-    """From the first `{` to the last `}` of an answer; null where there is none."""
-    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    """From the first `{` to the last `}` of an answer, of its first fenced block where it has one; null where there is none."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)(?:```|\z)", 1)
+    return F.nullif(F.regexp_extract(F.when(text.contains("```"), fenced).otherwise(text), r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def parse_json(text: Column, schema: T.StructType) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import strip
@@ -89,10 +89,26 @@ def fold(df: DataFrame, value: Column, merge: Callable[[Column, Column], Column]
             return cur.drop("__seq")
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The element at int(p * (n - 1)) of the sorted values of a group; without interpolation."""
-    own = F.array_sort(F.collect_list(values))
-    return F.element_at(own, F.floor(F.lit(p) * (F.size(own) - 1)).cast("int") + 1)
+def nearest_ranks(df: DataFrame, group: list[str], value: Column, ranks: dict[str, float]) -> DataFrame:
+    """Per group the elements at int(p * (n - 1)) of its sorted values; without interpolation.  Nulls don't count.
+
+    Equal values are counted first.  The counts are dealt by ranges of (group,
+    value) and summed up range by range, so that no task sees a whole group.
+    """
+    counts = df.select(*group, value.alias("__v")).where("__v is not null").groupBy(*group, "__v").agg(F.count("*").alias("__n"))
+    spread = materialize(counts.repartitionByRange(*group, "__v").withColumn("__part", F.spark_partition_id()))
+    sums = spread.groupBy(*group, "__part").agg(F.sum("__n").alias("__sum"))
+    parts = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__sum").over(parts), F.lit(0)), "__all": F.sum("__sum").over(Window.partitionBy(*group))})
+    places = F.array(*[F.floor(F.lit(p) * (F.col("__all") - 1)) for p in ranks.values()])
+    # only the ranges that hold a wanted place are looked into
+    wanted = sums.withColumn("__places", F.filter(places, lambda k: (F.col("__before") <= k) & (k < F.col("__before") + F.col("__sum")))).where("size(__places) > 0")
+    own = spread.join(wanted.drop("__places"), [*group, "__part"])
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("__upto", upto)
+    at = lambda p: F.floor(F.lit(p) * (F.col("__all") - 1))
+    hit = lambda p: (F.col("__upto") - F.col("__n") <= at(p)) & (at(p) < F.col("__upto"))
+    return own.groupBy(*group).agg(*[F.max(F.when(hit(p), F.col("__v"))).alias(k) for k, p in ranks.items()])
 
 
 def normalized_entropy(counts: DataFrame, group: list[str], n: str) -> DataFrame:

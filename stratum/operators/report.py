@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .reduce import nearest_rank
+from .reduce import nearest_ranks
 
 EVENT = "run string, stage string, kind string, record_id string, model string, valid boolean, error_class string, latency_ms double, input_tokens bigint, output_tokens bigint, cost_usd double"
 
 
 def stage_report(events: DataFrame) -> DataFrame:
     """Per run and stage: calls, failures by class, tokens, cost, latency (nearest rank)."""
-    return events.groupBy("run", "stage").agg(
+    sums = events.groupBy("run", "stage").agg(
         F.count("*").alias("calls"), F.count_if(F.col("valid")).alias("accepted"),
         *[F.count_if(F.col("error_class") == c).alias(c) for c in ("transient", "semantic", "permanent", "budget")],
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost_usd").alias("cost_usd"),
-        nearest_rank(F.col("latency_ms"), 0.5).alias("p50_ms"), nearest_rank(F.col("latency_ms"), 0.95).alias("p95_ms"),
     )
+    ranks = nearest_ranks(events, ["run", "stage"], F.col("latency_ms"), {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnsRenamed({"run": "__run", "stage": "__stage"})
+    same = F.col("run").eqNullSafe(F.col("__run")) & F.col("stage").eqNullSafe(F.col("__stage"))
+    return sums.join(ranks, same, "left").drop("__run", "__stage")
 
 
 @dataclass(frozen=True)

@@ -50,7 +50,8 @@ def decide(counts: DataFrame, prices: list[float], *, min_samples: int = MIN_SAM
 
     The chance that a rung's answer is accepted is the mean of its Beta posterior.
     From the top down, cost(r) = price(r) + (1 - chance(r)) * cost(r + 1); the top
-    rung is paid until accepted.  Under min_samples verdicts at rung 0 it stays at 0.
+    rung costs its price, there is nothing above it.  Under min_samples verdicts
+    at rung 0 it stays at 0; of equal costs the lower rung is taken.
     """
     n = len(prices)
     by_rung = counts.groupBy("stage", "bucket").agg(
@@ -59,12 +60,12 @@ def decide(counts: DataFrame, prices: list[float], *, min_samples: int = MIN_SAM
     )
     chance = [(F.col(f"a{r}") + alpha) / (F.col(f"a{r}") + F.col(f"b{r}") + alpha + beta) for r in range(n)]
     cost: list[Column] = [F.lit(0.0)] * n
-    cost[n - 1] = F.lit(prices[-1]) / chance[-1]
+    cost[n - 1] = F.lit(float(prices[-1]))
     for r in range(n - 2, -1, -1):
         cost[r] = F.lit(prices[r]) + (1 - chance[r]) * cost[r + 1]
-    out = by_rung.select("stage", "bucket", (F.col("a0") + F.col("b0")).alias("verdicts"), F.array(*cost).alias("costs"))
+    out = by_rung.select("stage", "bucket", (F.col("a0") + F.col("b0")).alias("verdicts"), F.array(*cost).alias("costs"), F.array(*chance).alias("chances"))
     best = F.array_position("costs", F.array_min("costs")).cast("int") - 1
-    return out.select("stage", "bucket", "verdicts", "costs", F.when(F.col("verdicts") < min_samples, 0).otherwise(best).alias("rung"), F.when(F.col("verdicts") < min_samples, "cold").otherwise("learned").alias("why"))
+    return out.select("stage", "bucket", "verdicts", "costs", "chances", F.when(F.col("verdicts") < min_samples, 0).otherwise(best).alias("rung"), F.when(F.col("verdicts") < min_samples, "cold").otherwise("learned").alias("why"))
 
 
 def probe(key: Column, rate: float = PROBE_RATE) -> Column:
@@ -79,10 +80,37 @@ def start_rungs(tasks: DataFrame, decisions: DataFrame, *, key: str = "id", rate
 
 
 def forecast(counts: DataFrame, decisions: DataFrame, prices: list[float]) -> DataFrame:
-    """Expected cost per stage with every task from rung 0, and with the chosen starts; buckets weigh by their starts (else verdicts at rung 0)."""
+    """Per stage what a record is expected to cost and to call: with every record from rung 0 (flat), and with the chosen starts (routed).
+
+    Buckets weigh by the records that started in them; where a stage has no
+    starts at all, by their verdicts at rung 0.  Calls are a record's expected
+    calls at each rung: it comes to a rung by failing all under it.  A stage
+    without any weight, or a ladder of one rung, is one call at the bottom.
+    """
+    n = len(prices)
     weight = counts.groupBy("stage", "bucket").agg(F.sum("starts").alias("s"), F.sum(F.when(F.col("rung") == 0, F.col("accepted") + F.col("rejected")).otherwise(0)).alias("v"))
-    d = decisions.join(weight, ["stage", "bucket"]).withColumn("w", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("v")))
-    return d.groupBy("stage").agg(F.sum("w").alias("tasks"), F.sum(F.col("w") * F.element_at("costs", 1)).alias("flat_usd"), F.sum(F.col("w") * F.element_at("costs", F.col("rung") + 1)).alias("routed_usd"))
+    stage = weight.groupBy("stage").agg(F.sum("s").alias("all_s"), F.sum("v").alias("samples"), F.count("*").alias("buckets"))
+    d = decisions.join(weight, ["stage", "bucket"]).join(stage, "stage")
+    total = F.when(F.col("all_s") > 0, F.col("all_s")).otherwise(F.col("samples"))
+    d = d.withColumn("w", F.when(F.col("all_s") > 0, F.col("s")).otherwise(F.col("v")) / F.when(total > 0, total))
+
+    def calls(start: Column) -> Column:
+        """The chance to reach each rung from one."""
+        reach, out = F.lit(0.0), []
+        for r in range(n):
+            reach = F.when(start == r, F.lit(1.0)).when(start < r, reach * (1 - F.element_at("chances", r))).otherwise(0.0) if r else F.when(start == 0, F.lit(1.0)).otherwise(0.0)
+            out.append(reach)
+        return F.array(*out)
+
+    d = d.withColumns({"flat": calls(F.lit(0)), "routed": calls(F.col("rung"))})
+    mean = lambda c: [F.sum(F.col("w") * F.element_at(c, r + 1)) for r in range(n)]
+    d = d.groupBy("stage").agg(F.first("samples").alias("samples"), F.first("buckets").alias("buckets"), F.array(*mean("flat")).alias("flat_calls"), F.array(*mean("routed")).alias("routed_calls"))
+    price = F.array(*[F.lit(float(x)) for x in prices])
+    bottom = F.array(*[F.lit(1.0 if r == 0 else 0.0) for r in range(n)])
+    unknown = F.element_at("flat_calls", 1).isNull() if n > 1 else F.lit(True)
+    d = d.withColumns({c: F.when(unknown, bottom).otherwise(F.col(c)) for c in ("flat_calls", "routed_calls")})
+    usd = lambda c: F.aggregate(F.zip_with(c, price, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return d.select("stage", "samples", "buckets", "flat_calls", "routed_calls", usd("flat_calls").alias("flat_usd"), usd("routed_calls").alias("routed_usd"))
 
 
 def skip_savings(skips: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -91,12 +119,16 @@ def skip_savings(skips: DataFrame, attempts: DataFrame) -> DataFrame:
     return skips.join(mean, ["stage", "model"], "left").withColumn("saved_usd", F.col("skipped") * F.coalesce("mean_usd", F.lit(0.0)))
 
 
-def fair_service(arrivals: DataFrame, slots: int, aging: float = 1.0) -> list[dict]:
+def fair_service(arrivals: DataFrame, slots: int, aging: float = 1.0, *, most: int = 10_000) -> list[dict]:
     """Least attained service with aging, simulated over a small table (program, arrives, tasks, seconds): when each program ends.
 
-    A small driver-side simulation of the policy; Spark itself schedules with FAIR pools.
+    A driver-side simulation of the policy for a table of up to `most` programs; a
+    larger one is refused.  Spark itself schedules with FAIR pools.
     """
-    todo = [dict(r.asDict(), left=r["tasks"], served=0.0, waited=r["arrives"], ends=None) for r in arrivals.orderBy("arrives", "program").limit(10_000).collect()]
+    rows = arrivals.orderBy("arrives", "program").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} programs")
+    todo = [dict(r.asDict(), left=r["tasks"], served=0.0, waited=r["arrives"], ends=None) for r in rows]
     running: list[tuple[float, int]] = []
     now = 0.0
     while any(p["left"] for p in todo) or running:

@@ -61,21 +61,24 @@ def pane_id(stage: str, start: Column, end: Column, key: Column, seq: Column) ->
 
 
 def numbered(df: DataFrame, ts: str, record_id: str, spec: WindowSpec) -> DataFrame:
-    """Assigned rows with their number in the pane order of their window (event time, then id), and their pane's number.
+    """Assigned rows with their pane's number, from 1, in the pane order of their window (event time, then id).
 
     `at_count` (or max_records) fires and empties a window at so many records.
     """
     keys = ["window_start", "window_end", *([spec.key] if spec.key else [])]
     d = assign(df, ts, spec).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(ts, record_id)))
     every = spec.at_count or spec.max_records
-    return d.withColumn("pane_seq", F.floor((F.col("__n") - 1) / every).cast("int") if every else F.lit(0)).drop("__n")
+    return d.withColumn("pane_seq", (F.floor((F.col("__n") - 1) / every) + 1).cast("int") if every else F.lit(1)).drop("__n")
 
 
 def panes(df: DataFrame, ts: str, record_id: str, spec: WindowSpec, *, stage: str = "window", aggregates: dict[str, Column] | None = None) -> DataFrame:
-    """The panes of finished data: every window that has records, closed.  With aggregates alone nothing is numbered or collected."""
+    """The panes of finished data, numbered from 1: every window that has records, closed.  With aggregates alone nothing is numbered or collected."""
     keys = ["window_start", "window_end", *([spec.key] if spec.key else [])]
-    d = numbered(df, ts, record_id, spec) if spec.at_count or spec.max_records else assign(df, ts, spec).withColumn("pane_seq", F.lit(0))
+    d = numbered(df, ts, record_id, spec) if spec.at_count or spec.max_records else assign(df, ts, spec).withColumn("pane_seq", F.lit(1))
     out = d.groupBy(*keys, "pane_seq").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in (aggregates or {}).items()])
+    every = spec.at_count or spec.max_records
+    # a pane that fires because it is full is not its window's last word; what is left when the window closes is
+    out = out.withColumn("final", F.col("n") < every if every else F.lit(True))
     key = F.col(spec.key).cast("string") if spec.key else F.lit("")
     return out.withColumn("pane", pane_id(stage, F.col("window_start"), F.col("window_end"), key, F.col("pane_seq")))
 

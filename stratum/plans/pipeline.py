@@ -21,7 +21,7 @@ from ..operators.graph import Iterated
 from ..operators.infer import InferSpec, infer
 from ..operators.reduce import fold, reduce_ai
 from ..operators.windows import WindowSpec, panes
-from ..storage import with_seq
+from ..storage import with_key_seq, with_seq
 from .models import Binding, Registry
 
 PURE = ("map", "filter", "flatmap")
@@ -236,9 +236,7 @@ def _apply(s: Stage, up: DataFrame | None, spark: SparkSession, registry: Regist
         key = s.spec["key"]
         up = _numbered(up, id_col)
         if key:
-            from pyspark.sql import Window
-
-            up = up.withColumn("_seq", F.row_number().over(Window.partitionBy(key).orderBy("_seq")) - 1)
+            up = with_key_seq(up.withColumnRenamed("_seq", "__o"), key, "__o").drop("__o")
         else:
             up = with_seq(up.withColumnRenamed("_seq", "__o"), "__o").drop("__o")
         model = s.spec["binding"].candidates(registry)[0]

@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import with_seq
+from ..storage import materialize, with_seq
+
+
+def _with_offsets(df: DataFrame) -> DataFrame:
+    """Adds `offset`, where each line of a text file begins, in bytes.
+
+    Lines of a split are summed up within it; what the splits of a file hold
+    goes before, split by split.
+    """
+    size = F.octet_length("value") + 1
+    at = F.monotonically_increasing_id()
+    d = materialize(df.select("*", F.col("_metadata.file_path").alias("__file")).withColumns({"__at": at, "__size": size.cast("bigint")}))
+    d = d.withColumn("__part", F.shiftright("__at", 33))
+    sums = d.groupBy("__file", "__part").agg(F.sum("__size").alias("__sum"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("__file").orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    own = Window.partitionBy("__file", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__own", F.coalesce(F.sum("__size").over(own), F.lit(0))).join(sums.select("__file", "__part", "__before"), ["__file", "__part"])
+    return d.withColumn("offset", F.col("__before") + F.col("__own")).drop("__at", "__size", "__part", "__before", "__own")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, *, bad: str = "skip", stream: bool = False) -> DataFrame:
-    """JSON lines with id, from the object's own id, else file:position; bad lines are skipped (and counted by `bad_lines`) or fail the read."""
+    """JSON lines with id, from the object's own id, else file:offset in bytes; bad lines are skipped (and counted by `bad_lines`) or fail the read.
+
+    A stream reads no offsets; there the second part is a hash of the line, so
+    equal lines of one file share an id.
+    """
     wanted = T.StructType([*schema.fields, *([] if "id" in schema.names else [T.StructField("id", T.StringType())]), *([T.StructField("_bad", T.StringType())] if bad == "skip" else [])])
-    reader = spark.readStream if stream else spark.read
-    reader = reader.schema(wanted).option("mode", "PERMISSIVE" if bad == "skip" else "FAILFAST")
-    if bad == "skip":
-        reader = reader.option("columnNameOfCorruptRecord", "_bad")
-    df = reader.json(path)
+    if stream:
+        raw = spark.readStream.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.substring(F.sha2(F.col("value").cast("binary"), 256), 1, 12).alias("offset"))
+    else:
+        raw = _with_offsets(spark.read.option("lineSep", "\n").text(path))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"} if bad == "skip" else {"mode": "FAILFAST"}
+    df = raw.where(F.col("value").rlike(r"\S")).withColumn("__x", F.from_json("value", wanted, options))
     if bad == "skip":
-        df = df.where("_bad is null").drop("_bad")
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1) if stream else F.element_at(F.split(F.input_file_name(), "/"), -1)
-    at = F.sha2(F.to_json(F.struct(*schema.names)).cast("binary"), 256)
-    return df.withColumn("id", F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat(name, F.lit(":"), F.substring(at, 1, 12))))
+        df = df.where("__x._bad is null")
+    own = F.concat(F.url_decode(F.element_at(F.split("__file", "/"), -1)), F.lit(":"), F.col("offset").cast("string"))
+    names = [*schema.names, *([] if "id" in schema.names else ["id"])]
+    return df.select(*[(F.coalesce(F.nullif(F.col("__x.id"), F.lit("")), own) if c == "id" else F.col("__x")[c]).alias(c) for c in names])
 
 
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> int:

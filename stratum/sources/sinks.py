@@ -28,8 +28,9 @@ def safe(pane: str) -> str:
 
 
 def pane_meta(df: DataFrame, *, stage: str) -> DataFrame:
-    """Adds _pane: stage, window, number, whether it is final."""
-    return df.withColumn("_pane", F.struct(F.lit(stage).alias("stage"), "window_start", "window_end", F.col("pane_seq").alias("seq"), F.lit(True).alias("final")))
+    """Adds _pane: stage, window, number, whether it is final (a pane without word of that is)."""
+    final = F.col("final") if "final" in df.columns else F.lit(True)
+    return df.withColumn("_pane", F.struct(F.lit(stage).alias("stage"), "window_start", "window_end", F.col("pane_seq").alias("seq"), final.alias("final")))
 
 
 def pane_sink(path: str):

@@ -43,3 +43,14 @@ def with_seq(df: DataFrame, *order: str, name: str = "_seq") -> DataFrame:
         return df.withColumn(name, F.lit(None).cast("bigint"))
     table = F.create_map(*[F.lit(x).cast("bigint") for kv in offsets.items() for x in kv])
     return spread.withColumn(name, table[part.cast("bigint")] + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+
+
+def with_key_seq(df: DataFrame, key: str, *order: str, name: str = "_seq") -> DataFrame:
+    """Adds a contiguous number from 0 within each key, in an order.
+
+    Rows are numbered by (key, order) over all ranges, so a key of many rows
+    is many tasks' work; a key's first number is then taken off.
+    """
+    spread = with_seq(df, key, *order, name="__at")
+    first = spread.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__first"))
+    return spread.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col("__at") - F.col("__first")).drop("__at", "__first", "__key")

@@ -35,7 +35,7 @@ def stream_panes(df: DataFrame, ts: str, record_id: str, spec: WindowSpec, *, st
     rows = F.array_sort(F.collect_list(F.struct(ts, record_id, *columns)))
     out = marked.groupBy(spec.column(F.col(ts)).alias("w"), *keys).agg(F.count("*").alias("n"), rows.alias("rows"))
     key = F.col(spec.key).cast("string") if spec.key else F.lit("")
-    d = out.withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end"), "pane_seq": F.lit(0)}).drop("w")
+    d = out.withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end"), "pane_seq": F.lit(1)}).drop("w")
     return d.withColumn("pane", pane_id(stage, F.col("window_start"), F.col("window_end"), key, F.col("pane_seq")))
 
 

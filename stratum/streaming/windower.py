@@ -42,6 +42,7 @@ class Open:
     fired: int = 0
     late: bool = False
     due: float | None = None
+    start: float | None = None
 
 
 def at_watermark() -> Callable:
@@ -53,14 +54,13 @@ def at_count(n: int) -> Callable:
 
 
 def at_interval(seconds: float) -> Callable:
-    """Fires every so many seconds of event time and keeps the rows; the first look only sets when it is due."""
+    """Fires whenever the watermark has come so many seconds further from the window's start, and keeps the rows; a global window counts from the first look."""
 
     def ask(state: Open, spec: Windower, mark: float | None) -> int:
-        if mark is None:
+        if mark is None or not state.rows or spec.adding:
             return CONTINUE
         if state.due is None:
-            state.due = mark + seconds
-            return CONTINUE
+            state.due = (mark if state.start is None else state.start) + seconds
         if mark < state.due:
             return CONTINUE
         while state.due <= mark:
@@ -88,6 +88,7 @@ class Windower:
         self.max_records, self.max_windows = max_records, max_windows
         self.open: dict[tuple, Open] = {}
         self.mark: float | None = None
+        self.adding = False
         self.stats = dict.fromkeys(("records", "assigned", "panes", "early", "late", "dropped", "evicted"), 0)
 
     def windows(self, t: float) -> list[tuple[float | None, float | None]]:
@@ -108,52 +109,59 @@ class Windower:
         state = self.open[window]
         if not state.rows:
             return None
-        pane = Pane(window[0], window[1], window[2], state.fired, [i for _, i in sorted(state.rows)], final, state.late, self.mark)
         state.fired += 1
+        pane = Pane(window[0], window[1], window[2], state.fired, [i for _, i in sorted(state.rows)], final, state.late, self.mark)
         self.stats["panes"] += 1
         self.stats["early"] += not final
+        self.stats["late"] += state.late
         if purge:
-            state.rows = []
+            state.rows, state.late = [], False
         return pane
 
     def add(self, record_id: str, t: float, key: str = "") -> list[Pane]:
-        self.stats["records"] += 1
-        live = [w for w in self.windows(t) if not self._closed(w[1])]
-        if not live:
-            self.stats["dropped"] += 1
-            if self.late_policy == "fail":
-                raise LateRecord(record_id)
-            return []
-        out = []
-        for s, e in live:
+        """Panes that a record sets off; each of its windows that has closed counts as dropped, or is an error by the policy."""
+        out, assigned = [], 0
+        self.adding = True
+        for s, e in self.windows(t):
+            if self._closed(e):
+                self.stats["dropped"] += 1
+                if self.late_policy == "fail":
+                    raise LateRecord(f"{record_id}: the window up to {e} has closed")
+                continue
+            assigned += 1
             window = (s, e, key)
-            state = self.open.setdefault(window, Open())
+            state = self.open.setdefault(window, Open(start=s))
             state.rows.append((t, record_id))
             self.stats["assigned"] += 1
-            if e is not None and self.mark is not None and self.mark >= e:
-                state.late = True
-                self.stats["late"] += 1
-            action = self.trigger(state, self, self.mark)
-            if self.max_records and len(state.rows) >= self.max_records and action != FIRE_PURGE:
+            state.late |= e is not None and self.mark is not None and self.mark >= e
+            if self.max_records and len(state.rows) >= self.max_records:
                 self.stats["evicted"] += 1
-                action = FIRE_PURGE
-            if action:
+                out.append(self._fire(window, False, True))
+            elif action := self.trigger(state, self, self.mark):
                 out.append(self._fire(window, False, action == FIRE_PURGE))
+        self.adding = False
+        self.stats["records"] += assigned > 0
         while self.max_windows and len(self.open) > self.max_windows:
             oldest = min(self.open, key=self._order)
             self.stats["evicted"] += 1
             out.append(self._fire(oldest, True, True))
             del self.open[oldest]
-        return [p for p in out if p]
+        return self._ordered(out)
+
+    def _ordered(self, panes: list[Pane | None]) -> list[Pane]:
+        """Panes in order of end, start, key and number."""
+        return sorted((p for p in panes if p), key=lambda p: (*self._order((p.start, p.end, p.key)), p.seq))
 
     @staticmethod
     def _order(w: tuple) -> tuple:
-        return (w[1] if w[1] is not None else float("inf"), w[0] if w[0] is not None else 0, w[2])
+        # the global window's end is the zero time, before all others
+        return (w[1] if w[1] is not None else float("-inf"), w[0] if w[0] is not None else float("-inf"), w[2])
 
     def advance(self, mark: float) -> list[Pane]:
         """The watermark, never back; closed windows fire in order of end, start, key."""
-        if self.mark is None or mark > self.mark:
-            self.mark = mark
+        if self.mark is not None and mark <= self.mark:
+            return []
+        self.mark = mark
         out = []
         for w in sorted(self.open, key=self._order):
             if self._closed(w[1]):
@@ -161,7 +169,7 @@ class Windower:
                 del self.open[w]
             elif (action := self.trigger(self.open[w], self, self.mark)) and self.open[w].rows:
                 out.append(self._fire(w, False, action == FIRE_PURGE))
-        return [p for p in out if p]
+        return self._ordered(out)
 
     def drain(self) -> list[Pane]:
         """Everything that is open fires as final."""
@@ -170,12 +178,12 @@ class Windower:
         return [p for p in out if p]
 
     def snapshot(self) -> str:
-        return json.dumps({"mark": self.mark, "stats": self.stats, "open": [[list(w), s.rows, s.fired, s.late, s.due] for w, s in self.open.items()]})
+        return json.dumps({"mark": self.mark, "stats": self.stats, "open": [[list(w), s.rows, s.fired, s.late, s.due, s.start] for w, s in self.open.items()]})
 
     def restore(self, blob: str) -> None:
         d = json.loads(blob)
         self.mark, self.stats = d["mark"], d["stats"]
-        self.open = {tuple(w): Open([tuple(r) for r in rows], fired, late, due) for w, rows, fired, late, due in d["open"]}
+        self.open = {tuple(w): Open([tuple(r) for r in rows], *rest) for w, rows, *rest in d["open"]}
 
 
 PANE_SCHEMA = "key string, window_start double, window_end double, pane_seq int, ids array<string>, final boolean, late boolean"

@@ -16,11 +16,11 @@ def record(spark):
 @pytest.mark.parametrize(
     ("field", "op", "value", "want"),
     [
-        ("vertical", "is", "payments", True), ("vertical", "is-not", "payments", False), ("vertical", "contains", "PAY", True),
+        ("vertical", "is", "payments", True), ("vertical", "is-not", "payments", False), ("vertical", "contains", "pay", True), ("vertical", "contains", "PAY", False),
         ("vertical", "not-contains", "x", True), ("topics", "non-empty", "", True), ("empty", "non-empty", "", False),
         ("empty", "empty", "", True), ("blank", "empty", "", True), ("vertical", "exists", "", True), ("absent", "missing", "", True),
         ("count", "gt", "99", True), ("count", "gte", "214", True), ("count", "lt", "1000", True), ("absent", "lt", "5", True),
-        ("absent", "is-not", "x", True), ("nothing", "is", "", True), ("vertical", "gt", "5", True), ("topics", "contains", "A", True),
+        ("absent", "is-not", "x", True), ("nothing", "is", "", True), ("vertical", "gt", "5", True), ("topics", "contains", "a", True), ("topics", "contains", "A", False), ("topics", "contains", "[a]", True), ("vertical", "gt", "1d", True), ("count", "lt", "1d", False), ("count", "lt", " 2.15e2 ", True),
     ],
 )
 def test_conditions(record, field, op, value, want):

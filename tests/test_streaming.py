@@ -23,7 +23,7 @@ def test_windower_fires_once_by_watermark():
     assert w.add("a", 10) == [] and w.advance(65) == []
     w.add("b", 30)
     (p,) = w.advance(80)
-    assert (p.ids, p.final, p.late, p.seq) == (["a", "b"], True, True, 0)
+    assert (p.ids, p.final, p.late, p.seq) == (["a", "b"], True, True, 1)
     assert w.add("c", 30) == [] and w.stats["dropped"] == 1 and w.advance(70) == []
     with pytest.raises(LateRecord):
         x = Windower(60, late_policy="fail")
@@ -38,7 +38,7 @@ def test_windower_triggers_and_bounds():
     assert p.ids == ["a", "b"] and not p.final
     w.add("c", 3)
     (p,) = w.advance(60)
-    assert (p.ids, p.seq, p.final) == (["c"], 1, True)
+    assert (p.ids, p.seq, p.final) == (["c"], 2, True)
     g = Windower(trigger=at_count(2))
     g.add("a", 1)
     assert g.add("b", 9999)[0].count == 2
@@ -63,6 +63,26 @@ def test_windower_triggers_and_bounds():
     assert Windower(7 * 86400).windows(1772366400)[0][0] % (7 * 86400) == 4 * 86400
 
 
+def test_windower_counts_as_windows_and_panes():
+    w = Windower(60, 30, lateness=10, trigger=at_count(2))
+    w.advance(95)
+    w.add("a", 85)  # of 30-90, which is late, and 60-120
+    assert (w.stats["records"], w.stats["assigned"], w.stats["dropped"]) == (1, 2, 0)
+    w.add("b", 45)  # 0-60 has closed, 30-90 has not: it fires full, and late
+    assert (w.stats["records"], w.stats["assigned"], w.stats["dropped"], w.stats["late"], w.stats["panes"]) == (2, 3, 1, 1, 1)
+    w.add("c", 86)
+    assert [(p.start, p.seq, p.late, p.final) for p in w.advance(200)] == [(30, 2, True, True)]
+    assert w.add("d", 10) == [] and w.stats["dropped"] == 3 and w.stats["records"] == 3
+    assert w.advance(200) == [] and w.advance(150) == [] and w.mark == 200
+    x = Windower(60, 30, late_policy="fail")
+    x.advance(61)
+    with pytest.raises(LateRecord):
+        x.add("z", 45)  # one of its windows is open, the other is not
+    g = Windower(60, trigger=at_interval(10))
+    g.add("a", 1)
+    assert g.advance(9) == [] and [p.seq for p in g.advance(31)] == [1] and g.advance(39) == [] and [p.seq for p in g.advance(40)] == [2]
+
+
 def test_watermarks():
     w = Watermarks(lateness=5, idle=100)
     w.open("a")
@@ -111,6 +131,24 @@ def test_bad_lines(spark, tmp_path):
         files.json_lines(spark, str(tmp_path / "x.json"), SCHEMA, bad="fail").collect()
 
 
+def test_ids_are_byte_offsets(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = ['{"service": "é"}', '{"service": "é"}', "", '{"id": "own", "service": "x"}', '{"service": "é"}'] * 40
+    for name in ("a b.json", "c.json"):
+        (tmp_path / "in" / name).write_text("\n".join(rows) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = files.json_lines(spark, str(tmp_path / "in"), T.StructType([T.StructField("service", T.StringType())])).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want, at = [], 0
+    for line in rows:
+        if line:
+            want += ["own"] * 2 if "own" in line else [f"{n}:{at}" for n in ("a b.json", "c.json")]
+        at += len(line.encode()) + 1
+    assert sorted(r["id"] for r in got) == sorted(want)
+
+
 def test_folders_tables_and_writing(spark, tmp_path):
     for g, n, body in (("a", "2026-03-01", lines(ROWS[:2])), ("a", "2026-03-02", " \n"), ("b", "2026-03-02", lines(ROWS[2:3]))):
         (tmp_path / "in" / g).mkdir(parents=True, exist_ok=True)
