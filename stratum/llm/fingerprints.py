@@ -56,15 +56,14 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     low, high = own.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         return own.withColumn("next_text", F.lit(""))
-    # rows without an id are dealt by their text, so that no cell holds them all
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))
-    own = own.withColumns({"cell": F.shiftright("doc_id", CELL_BITS), "salt": salt, "t": F.xxhash64("text")})
-    order = Window.partitionBy("cell", "salt").orderBy("doc_id", "t")
-    ahead = own.withColumn("ahead", F.lead("text").over(order))
+    # rows without an id are dealt by their text, to cells beyond all others, so that no cell holds them all
+    cell = F.coalesce(F.shiftright("doc_id", CELL_BITS), F.lit(1 << 60) + F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    own = own.withColumns({"cell": cell, "t": F.xxhash64("text")})
+    ahead = own.withColumn("ahead", F.lead("text").over(Window.partitionBy("cell").orderBy("doc_id", "t")))
     # the first row of each cell, combined before it is shuffled
     heads = own.where("doc_id is not null").groupBy("cell").agg(F.min(F.struct("doc_id", "t", "text")).alias("h")).select("cell", F.col("h.text").alias("head"))
     first_cell = low >> CELL_BITS
-    nexts = _successors(own.where("cell is not null").select("cell").distinct(), first_cell, high >> CELL_BITS).withColumn("next_cell", F.coalesce("next_cell", F.lit(first_cell)))
+    nexts = _successors(own.where("doc_id is not null").select("cell").distinct(), first_cell, high >> CELL_BITS).withColumn("next_cell", F.coalesce("next_cell", F.lit(first_cell)))
     jump = nexts.join(heads.withColumnRenamed("cell", "next_cell"), "next_cell").select("cell", "head")
     some = F.col("doc_id").isNotNull()
     return ahead.join(jump, "cell", "left").select("doc_id", "text", F.when(some, F.coalesce("ahead", "head")).otherwise("").alias("next_text"))
