@@ -244,3 +244,37 @@ def test_fleet(spark, tmp_path):
     board.post("news", "again", {"n": 5})
     assert board.posts("news").count() == 1
     assert fleet.bus.frame(spark).where("kind = 'agent-end'").count() == 3
+
+
+def test_explain_projects_without_a_call(spark):
+    from stratum.operators.infer import InferSpec
+    from stratum.operators.reduce import numbered_prompt
+    from stratum.plans.explain import explain
+    from stratum.plans.models import Binding, Model, Pricing, Registry
+    from stratum.plans.pipeline import Options, Pipeline
+
+    def never(prompt):
+        raise AssertionError("a projection calls no model")
+
+    price = Pricing(1.0, 4.0)
+    registry = Registry(Model("f", "fast", price, call=never, requests_per_minute=60), Model("d", "deep", price, call=never))
+    p = Pipeline("tickets")
+    rows = [(str(k), "en" if k % 2 else "fr", "t" * (4 * k)) for k in range(20)]
+    spec = InferSpec(Binding(tier="fast"), "{{.text}}", system="s" * 40, prefix="p" * 80, max_tokens=100, schema=T.StructType([T.StructField("urgent", T.BooleanType())]))
+    kept = p.from_records("tickets", rows, "id string, lang string, text string").filter("long", F.length("text") >= 16)
+    asked = kept.infer("classify", spec, Options(batch=4))
+    asked.filter("urgent", F.col("urgent")).reduce_ai("digest", Binding(tier="deep"), numbered_prompt("Sum:"), item="text", output="out", key="lang")
+    got = explain(p, spark, registry)
+    s = {x.stage: x for x in got.projection.stages}
+    assert [x.records for x in got.projection.stages] == [20, 16, 16, 16, 16]
+    fresh = sum(k + 1 for k in range(4, 20))
+    shared = 11 + 21
+    assert (s["classify"].tasks, s["classify"].calls, s["classify"].cached_tokens, s["classify"].prompt_tokens) == (4, 16, 15 * shared, fresh + 16 * shared)
+    assert s["classify"].expected_usd == pytest.approx(price.cost_of(fresh, 16 * 35, 15 * shared, shared)) and s["classify"].floor_seconds == pytest.approx(16.0)
+    assert s["digest"].calls == 2 and s["digest"].records == 16
+    assert got.tainted == {"classify", "urgent", "digest"} and [x.exact for x in got.projection.stages] == [True, True, True, False, False]
+    assert got.samples["long"][0]["lang"] in ("en", "fr") and set(got.samples["digest"][0]) == {"lang", "id", "out", "aggregated"}
+    assert got.frame(spark).count() == 5 and not got.warnings
+    one = Pipeline("one")
+    one.from_records("r", rows, "id string, lang string, text string").infer("c", spec, Options(batch=50))
+    assert "uncached" in explain(one, spark, registry).warnings[0]

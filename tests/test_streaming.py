@@ -164,3 +164,71 @@ def test_folders_tables_and_writing(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in out] == ["y1.txt", "y2.txt"]
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).select("value").collect()) == ["<one>", "<two>"]
     assert not (tmp_path / "dry").exists() and sinks.write_records(d, str(tmp_path / "dry"), "a", "b", dry=True).count() == 2 and not (tmp_path / "dry").exists()
+
+
+def words_pipeline():
+    from stratum.operators.infer import InferSpec
+    from stratum.operators.reduce import numbered_prompt
+    from stratum.plans.models import Binding, Model, Pricing, Registry
+    from stratum.plans.pipeline import Pipeline
+
+    price = Pricing(1.0, 2.0)
+    judge = Model("judge", "fast", price, answer=lambda p: F.concat(F.lit('{"size": '), F.length(p).cast("string"), F.lit("}")))
+    joiner = Model("joiner", "deep", price, answer=lambda p: F.concat_ws("+", F.regexp_extract_all(p, F.lit(r"(?m)^\d+\. (.*)$"), F.lit(1))))
+    spec = InferSpec(Binding(tier="fast"), "say {{.text}}", schema=T.StructType([T.StructField("size", T.LongType())]))
+    return Pipeline("feed"), spec, Binding(tier="deep"), numbered_prompt("Join:"), Registry(judge, joiner)
+
+
+def test_a_pipeline_runs_as_a_stream(spark, tmp_path):
+    """Panes reduced by key, drained at the end, equal those of finished data; calls are counted; a restart does nothing again."""
+    from stratum.streaming.pipelines import run_pipeline
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/part-0.json").write_text(lines(ROWS[:3]))
+    (tmp_path / "in/part-1.json").write_text(lines(ROWS[3:]))
+    p, spec, deep, prompt, registry = words_pipeline()
+    kept = p.from_stream("feed").map("tag", {"text": F.concat_ws("/", "service", "id")}).filter("some", F.col("id") != "b3")
+    kept.window("minute", "event_time", WindowSpec(size=60, key="service")).infer("size", spec, max_attempts=1).reduce_ai("joined", deep, prompt, item="text", output="all", key="service")
+    load = lambda stream: jobs.with_event_time(files.json_lines(spark, str(tmp_path / "in"), SCHEMA, stream=stream), "at")
+    got = {}
+
+    def sink(df, number):
+        for r in df.collect():
+            got.setdefault(r["pane"], []).append((number, r["all"], r["service"]))
+
+    report = run_pipeline(p, spark, load(True), {"joined": sink}, str(tmp_path / "cp"), registry=registry, lateness=10, drain=lambda: load(False))
+    want = {}
+    for i, s, t in ROWS:
+        if i != "b3":
+            want.setdefault((s, t // 60), []).append(f"{s}/{i}")
+    assert sorted(x[0][1] for x in got.values()) == sorted("+".join(v) for v in want.values())
+    assert all(len(x) == 1 for x in got.values()) and all(k.startswith("minute/2026-03-01T12:0") and k.endswith("#1") for k in got)
+    assert (report.panes, report.rows["joined"], report.calls["size"], report.calls["joined"]) == (4, 4, 5, 4)
+    assert report.drained == 2 and sum(x[0][0] == -1 for x in got.values()) == 2
+    again = run_pipeline(p, spark, load(True), {"joined": sink}, str(tmp_path / "cp"), registry=registry, lateness=10)
+    assert again.panes == 0 and all(len(x) == 1 for x in got.values())
+
+
+def test_an_unwindowed_stage_runs_on_each_batch_once(spark, tmp_path):
+    from stratum.plans.pipeline import PipelineError
+    from stratum.streaming.pipelines import run_pipeline
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/part-0.json").write_text(lines(ROWS[:4]))
+    p, spec, deep, prompt, registry = words_pipeline()
+    sized = p.from_stream("feed").infer("size", spec, max_attempts=1)
+    load = lambda: files.json_lines(spark, str(tmp_path / "in"), SCHEMA, stream=True)
+    out = []
+    sink = lambda df, n: out.extend((n, r["id"], r["size"]) for r in df.collect())
+    run = lambda: run_pipeline(p, spark, load(), {"size": sink}, str(tmp_path / "cp"), registry=registry)
+    assert run().calls == {"size": 4}
+    (tmp_path / "in/part-1.json").write_text(lines(ROWS[4:]))
+    assert run().calls == {"size": 2} and run().calls == {}
+    assert sorted((i, s) for _, i, s in out) == sorted((i, len(f"say {s}")) for i, s, _ in ROWS) and {n for n, _, _ in out} == {0, 1}
+    sized.reduce_ai("all", deep, prompt, item="text", output="all")
+    with pytest.raises(PipelineError, match="without a window"):
+        run()
+    with pytest.raises(PipelineError, match="bind"):
+        q, *_ = words_pipeline()
+        q.from_stream("feed")
+        run_pipeline(q, spark, load(), {"nothing": sink}, str(tmp_path / "cp2"))
