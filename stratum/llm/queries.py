@@ -28,7 +28,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for k, name in enumerate(pii.KINDS) for x in (name, k)])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     ranked = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"], s["end"], s["kind"])))
-    return d.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(ranked).alias("spans"))
+    return d.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(ranked).alias("spans"), F.size(ranked).cast("bigint").alias("n_spans"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

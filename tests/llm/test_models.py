@@ -75,7 +75,7 @@ def test_pii(spark, sf, tmp_path):
         assert all(0 <= s < e <= len(t) and not any(s < y and x < e for _, x, y in base) for _, s, e in added)
         q = query[k]
         assert [q[f"n_{n}"] for n in pii.KINDS] == [sum(s[0] == i for s in base) for i in range(4)]
-        assert q["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest() and q["spans"] == line(sorted(base + added))
+        assert q["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest() and q["spans"] == line(sorted(base + added)) and q["n_spans"] == len(base + added)
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
