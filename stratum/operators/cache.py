@@ -82,21 +82,26 @@ class Broadcasts:
         return self.values[name]
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: str, *, max_rows: int = 1_000_000) -> DataFrame:
-    """Enriches by a dictionary, with a default; sent to all tasks only when its size is checked to be small."""
-    own = table.select(key, value).dropDuplicates([key])
-    if own.limit(max_rows + 1).count() <= max_rows:
+def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: str, *, max_bytes: int = 10_000_000) -> DataFrame:
+    """Enriches by a dictionary, with a default; sent to all tasks only when its bytes are checked to be few.
+
+    Of values that share a key the least one counts.
+    """
+    own = table.groupBy(key).agg(F.min(value).alias(value))
+    size = F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col(value).cast("string")), F.lit(0)) + 32
+    if (own.agg(F.sum(size)).first()[0] or 0) <= max_bytes:
         own = F.broadcast(own)
     return df.join(own, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
 def trace(lineage: DataFrame, artifact: str, max_depth: int = 50) -> DataFrame:
     """Everything that an artifact was made from, with its depth."""
-    lineage.createOrReplaceTempView("__lineage")
     return lineage.sparkSession.sql(
-        f"""WITH RECURSIVE up(artifact, depth) MAX RECURSION LEVEL {max_depth} AS (
-              SELECT '{artifact}', 0
+        f"""WITH RECURSIVE up(artifact, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
+              SELECT :artifact, 0
               UNION ALL
-              SELECT i.input, up.depth + 1 FROM up JOIN (SELECT artifact, explode(inputs) AS input FROM __lineage) i ON i.artifact = up.artifact)
-            SELECT artifact, min(depth) AS depth FROM up GROUP BY artifact"""
+              SELECT i.input, up.depth + 1 FROM up JOIN (SELECT artifact, explode(inputs) AS input FROM {{lineage}}) i ON i.artifact = up.artifact)
+            SELECT artifact, min(depth) AS depth FROM up GROUP BY artifact""",
+        args={"artifact": artifact},
+        lineage=lineage,
     )

@@ -131,6 +131,57 @@ def lookup(questions: DataFrame, entries: DataFrame, aliases: DataFrame) -> Data
     return d.withColumn("hash", F.coalesce("exact_hash", "class_hash")).withColumn("tier", F.when(F.col("exact_hash").isNotNull(), "exact").when(F.col("class_hash").isNotNull(), "class").otherwise("miss")).drop("exact_hash", "class_hash")
 
 
+def consult(questions: DataFrame, revisions: DataFrame, aliases: DataFrame, policy: Policy, now: Column, *, near: DataFrame | None = None, thresholds: DataFrame | None = None) -> DataFrame:
+    """Per question the first tier that has a sufficient entry, and that entry: exact, class, near, else miss.
+
+    questions: question_key, class, needs.  Only current revisions that are not
+    retracted serve, and only those that the policy admits and that cover what
+    the question needs.  The exact tier goes by the key or an alias, the class
+    tier by the class where it has facets; both take the newest.  near:
+    (question_key, hash, similarity) candidates and, where a judge has ruled,
+    `ok`; they count from the entry's own threshold on, within the class, and
+    the most similar is taken.
+
+    Admission by the entry alone comes first; of the entries of a class that
+    cover the same only the newest is met by questions.
+    """
+    live = live_heads(revisions).withColumn("needs", F.array().cast("array<string>"))
+    live = live.where(admissible(policy, now) == "admit").select("hash", "class", "seq", F.array_sort(F.array_distinct("covers")).alias("covers"))
+    asked = questions.select("question_key", "class", F.coalesce("needs", F.array().cast("array<string>")).alias("needs")).dropDuplicates(["question_key"])
+    covered = F.size(F.array_except("needs", "covers")) == 0
+    newest = F.max_by("hash", F.struct("seq", "hash"))
+    by_key = aliases.select("question_key", "hash").distinct().join(live.drop("class"), "hash")
+    exact = asked.join(by_key, "question_key").where(covered).groupBy("question_key").agg(newest.alias("exact_hash"))
+    of_class = live.where("class <> ''").groupBy("class", "covers").agg(F.max(F.struct("seq", "hash")).alias("e")).select("class", "covers", "e.seq", "e.hash")
+    same = asked.join(of_class, "class").where(covered).groupBy("question_key").agg(newest.alias("class_hash"))
+    d = questions.join(exact, "question_key", "left").join(same, "question_key", "left")
+    if near is None:
+        d = d.withColumn("near_hash", F.lit(None).cast("string"))
+    else:
+        n = near.join(live, "hash").join(asked.withColumnRenamed("class", "asked_class"), "question_key").where((F.col("class") == F.col("asked_class")) & covered)
+        own = n.join(thresholds, "hash", "left") if thresholds is not None else n.withColumn("threshold", F.lit(None).cast("double"))
+        own = own.where(F.col("similarity") >= F.coalesce("threshold", F.lit(NEAR_THRESHOLD)))
+        if "ok" in near.columns:
+            own = own.where(F.coalesce("ok", F.lit(False)))
+        d = d.join(own.groupBy("question_key").agg(F.max_by("hash", F.struct("similarity", "seq", "hash")).alias("near_hash")), "question_key", "left")
+    tier = F.when(F.col("exact_hash").isNotNull(), "exact").when(F.col("class_hash").isNotNull(), "class").when(F.col("near_hash").isNotNull(), "near").otherwise("miss")
+    return d.withColumns({"tier": tier, "hash": F.coalesce("exact_hash", "class_hash", "near_hash")}).drop("exact_hash", "class_hash", "near_hash")
+
+
+def candidates(questions: DataFrame, revisions: DataFrame, aliases: DataFrame, limit: int = 32) -> DataFrame:
+    """Per question the newest live entries that are filed under its key or its class, `limit` at most, with their rank.
+
+    Each key and class is cut to its newest before questions meet it.
+    """
+    live = live_heads(revisions).select("hash", "class", "seq")
+    newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("seq").desc(), "hash"))
+    by_key = aliases.select("question_key", "hash").distinct().join(live.drop("class"), "hash").withColumn("__n", newest("question_key")).where(F.col("__n") <= limit)
+    by_class = live.where("class <> ''").withColumn("__n", newest("class")).where(F.col("__n") <= limit)
+    asked = questions.select("question_key", "class").distinct()
+    found = asked.join(by_key.drop("__n"), "question_key").select("question_key", "hash", "seq").union(asked.join(by_class.drop("__n"), "class").select("question_key", "hash", "seq")).distinct()
+    return found.withColumn("rank", newest("question_key")).where(F.col("rank") <= limit)
+
+
 def coverage_gap(needs: Column, covers: Column) -> Column:
     return F.array_except(F.coalesce(needs, F.array().cast("array<string>")), F.coalesce(covers, F.array().cast("array<string>")))
 

@@ -45,13 +45,13 @@ def cap(messages: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def edges_from_field(vertices: DataFrame, name: str, *, id_col: str = "id") -> DataFrame:
-    return vertices.select(F.col(id_col).cast("string").alias("src"), F.explode(name).cast("string").alias("dst")).where("dst is not null and dst <> ''")
+    return vertices.select(F.col(id_col).cast("string").alias("src"), F.explode(F.col(name).cast("array<string>")).alias("dst")).where("dst is not null and dst <> ''")
 
 
 def messages_from_field(rows: DataFrame, name: str, rank: Column | None = None, *, id_col: str = "id") -> DataFrame:
     """Each text of a list field as a message without an address."""
-    body = F.explode(name).cast("string").alias("body")
-    return rows.select(F.lit("").alias("to"), F.col(id_col).cast("string").alias("from"), body, (rank if rank is not None else F.lit(0.0)).cast("double").alias("rank"))
+    body = F.explode(F.col(name).cast("array<string>")).alias("body")
+    return rows.select(F.lit("").alias("to"), F.col(id_col).cast("string").alias("from"), body, (rank if rank is not None else F.lit(0.0)).cast("double").alias("rank")).where("trim(body) <> ''")
 
 
 def targets(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -197,7 +197,7 @@ def successor(body: Column) -> Column:
 
 def expand_from_field(rows: DataFrame, name: str, score: Column | None = None, *, id_col: str = "id") -> DataFrame:
     """Each text of a list field as a proposal with its id and rank."""
-    d = rows.select(F.col(id_col).cast("string").alias("from"), F.explode(name).cast("string").alias("body"))
+    d = rows.select(F.col(id_col).cast("string").alias("from"), F.explode(F.col(name).cast("array<string>")).alias("body"))
     return d.select(successor(F.col("body")).alias("to"), "from", "body", (score if score is not None else F.lit(0.0)).cast("double").alias("rank"))
 
 

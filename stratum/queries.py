@@ -20,7 +20,7 @@ from .operators import windows as win
 from .plans.models import Binding, Model, Pricing, Registry
 from .plans.pipeline import Pipeline
 from .sources import kafka, sinks
-from .storage import shared_dir, with_key_seq, with_seq
+from .storage import materialize, shared_dir, with_key_seq, with_seq
 from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -761,6 +761,58 @@ def k4_lookup_tiers(spark, sf):
     return findings.lookup(q, e, e.select("question_key", "hash")).select("doc_id", "tier", "hash")
 
 
+def gate_parts(spark, sf):
+    """Orders as revisions with all that admission looks at, and documents as questions that need one thing or two."""
+    k = F.col("o_orderkey")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    more = table(spark, sf, "orders").select(
+        k.alias("seq"), F.when(k % 17 == 0, F.array(F.lit("tool:x"))).otherwise(F.array(F.lit("tool:y"))).alias("requires"), F.when(k % 19 == 0, "other").otherwise("").alias("scope"),
+        (now - F.make_interval(hours=k % 50)).alias("learned"), F.when(k % 3 == 0, "daily").otherwise("static").alias("volatility"), F.array(F.lit("s1")).alias("sources"), F.lit(0).alias("corroborations"),
+        F.when(F.col("o_totalprice") < 50000, 0.1).otherwise(0.9).alias("confidence"),
+    )
+    e = entries(spark, sf).join(more, "seq").withColumn("class", F.when(k_mod(F.col("class")) < 30, F.col("class")).otherwise(""))
+    n = F.col("doc_id")
+    needs = F.when(n % 2 == 0, F.array(F.lit("a1"))).otherwise(F.array(F.lit("a2"), F.lit("b1")))
+    asked = docs(spark, sf).select("doc_id", F.concat(F.lit("q"), n.cast("string")).alias("question_key"), F.concat(F.lit("c"), (n % 60).cast("string")).alias("class"), needs.alias("needs"))
+    return asked, e, findings.Policy(1, 0.5, ("tool:y",)), now
+
+
+def k_mod(name: Column) -> Column:
+    return F.substring(name, 2, 10).cast("int")
+
+
+_GATE = """
+WITH h AS (SELECT o_custkey, o_orderkey AS s, o_totalprice AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7 DESC, o_orderkey DESC) = 1),
+l AS (SELECT s, s % 500 AS k, CASE WHEN o_custkey % 40 < 30 THEN o_custkey % 40 END AS class, ['a' || (s % 3), 'b' || (s % 2)] AS covers, price FROM h WHERE s % 10 <> 0),
+e AS (SELECT * FROM l WHERE s % 17 <> 0 AND s % 19 <> 0 AND NOT (s % 3 = 0 AND s % 50 > 24) AND price >= 50000),
+q AS (SELECT doc_id, doc_id % 60 AS class, CASE WHEN doc_id % 2 = 0 THEN ['a1'] ELSE ['a2', 'b1'] END AS needs FROM documents)
+"""
+
+
+@query(_GATE + """
+, x AS (SELECT doc_id, max(s) AS s FROM q JOIN e ON e.k = q.doc_id AND list_has_all(covers, needs) GROUP BY 1), y AS (SELECT doc_id, max(s) AS s FROM q JOIN e ON e.class = q.class AND list_has_all(covers, needs) GROUP BY 1),
+z AS (SELECT doc_id, arg_max(s, (sim, s)) AS s FROM (SELECT doc_id, s, covers, needs, 0.9 + (s % 10) / 100.0 AS sim FROM q JOIN e ON e.class = q.class WHERE s % 3 = doc_id % 3) WHERE list_has_all(covers, needs) AND sim >= 0.92 GROUP BY 1)
+SELECT doc_id, CASE WHEN x.s IS NOT NULL THEN 'exact' WHEN y.s IS NOT NULL THEN 'class' WHEN z.s IS NOT NULL THEN 'near' ELSE 'miss' END AS tier, sha256(coalesce(x.s, y.s, z.s)::VARCHAR) AS hash
+FROM q LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
+""")
+def k4_gate(spark, sf):
+    """The whole ladder: exact, class and near, each candidate admitted by the policy and covering what is needed."""
+    asked, e, policy, now = gate_parts(spark, sf)
+    near = asked.select("doc_id", "question_key", "class").join(e.select("hash", "seq", "class"), "class").where("seq % 3 = doc_id % 3")
+    near = near.select("question_key", "hash", (F.lit(0.9) + (F.col("seq") % 10) / 100).alias("similarity"))
+    got = findings.consult(asked, e, e.select("question_key", "hash"), policy, now, near=near)
+    return got.select("doc_id", "tier", "hash")
+
+
+@query(_GATE + """
+, c AS (SELECT DISTINCT doc_id, s FROM q JOIN l ON l.k = q.doc_id OR l.class = q.class) SELECT doc_id, sha256(s::VARCHAR) AS hash, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS rank FROM c QUALIFY rank <= 32
+""")
+def k21_candidates(spark, sf):
+    asked, e, _, _ = gate_parts(spark, sf)
+    got = findings.candidates(asked, e, e.select("question_key", "hash"))
+    return got.select(F.substring("question_key", 2, 20).cast("bigint").alias("doc_id"), "hash", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'unreachable' WHEN o_orderkey % 19 = 0 THEN 'invisible' WHEN o_orderkey % 3 = 0 AND (o_orderkey % 50) > 24 THEN 'stale'
   WHEN o_orderkey % 5 = 0 THEN 'gap' WHEN o_orderkey % 7 = 0 THEN 'unsupported' WHEN o_totalprice < 50000 THEN 'unsure' ELSE 'admit' END AS verdict FROM orders
@@ -959,7 +1011,9 @@ def k11_retract(spark, sf):
     rev, told = findings.retract(e, cites, "f7", "wrong")
     own = rev.where("finding_id = 'f7'")
     live = findings.live_heads(own)
-    return own.agg(F.count("*").alias("revisions")).crossJoin(told.agg(F.count("*").alias("told"))).crossJoin(live.agg(F.count("*").alias("live")))
+    one = F.lit(1).alias("all")
+    rows = [d.agg(F.count("*").alias(k)).select(k, one) for d, k in ((own, "revisions"), (told, "told"), (live, "live"))]
+    return rows[0].join(rows[1], "all").join(rows[2], "all").drop("all")
 
 
 @query("SELECT v AS volatility, h AS hours FROM (VALUES ('static', NULL::DOUBLE), ('slow', 720.0), ('daily', 24.0), ('hourly', 1.0), ('live', 0.0)) t(v, h)")
@@ -1098,3 +1152,104 @@ def q3_branching(spark, sf):
     _, got = p.run(spark, MODELS, id_col="line_id")
     counts = got.outputs["long"].groupBy("lang").agg(F.count("*").alias("lines"))
     return counts.join(got.outputs["total"].select("lang", "total"), "lang")
+
+
+@query("""
+WITH d AS (SELECT lang, source, n_chars FROM documents WHERE n_chars > 2000), r AS (SELECT lang, source, sum(n_chars) AS n FROM d GROUP BY ALL), t AS (SELECT lang, sum(n) AS n FROM r GROUP BY lang)
+SELECT 1 AS run, lang || '/' || source AS name, n::VARCHAR AS total FROM r UNION ALL SELECT 2, lang, n::VARCHAR FROM t UNION ALL SELECT 3, 'all', sum(n)::VARCHAR FROM t HAVING count(*) > 0
+""")
+def q5_vertical_digest(spark, sf):
+    """Inference per record, a map and a filter, a reduction per key; a second run folds the rollups per language, a third those to one."""
+    p = Pipeline("digest")
+    (
+        p.from_func("documents", lambda s: docs(s, sf).select("id", "doc_id", "lang", "source", "n_chars"))
+        .infer("classify", inf.InferSpec(Binding(tier="fast"), TRIAGE_PROMPT, schema=CLASS_SCHEMA), max_attempts=1)
+        .map("key", {"name": F.concat_ws("/", "lang", "source")})
+        .filter("urgent", F.col("urgent"))
+        .reduce_ai("rollup", Binding(tier="deep"), red.numbered_prompt("Add:"), item="size", output="total", key="name")
+    )
+    plan, got = p.run(spark, MODELS, id_col="doc_id")
+    first = got.output(plan).select("name", "total")
+    second = Pipeline("weekly")
+    base = second.from_func("rollups", lambda _: first.select(F.col("name").alias("id"), F.split_part("name", F.lit("/"), F.lit(1)).alias("lang"), F.col("total").alias("part")))
+    base.reduce_ai("fold", Binding(tier="deep"), red.numbered_prompt("Add:"), item="part", output="total", key="lang")
+    plan, got = second.run(spark, MODELS)
+    langs = got.output(plan).select(F.col("lang").alias("name"), "total")
+    whole = red.reduce_ai(with_seq(langs, "name"), ADDER, red.numbered_prompt("Add:"), item="total", output="all")[0]
+    rows = lambda run, d: d.select(F.lit(run).alias("run"), "name", "total")
+    return rows(1, first).unionByName(rows(2, langs)).unionByName(rows(3, whole.select(F.lit("all").alias("name"), F.col("all").alias("total"))))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT doc_id, lang, e FROM (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n FROM documents)
+  JOIN (VALUES ('gpl', 'gnu general public license'), ('apache', 'apache license'), ('mit', 'mit license'), ('cc', 'cc by nc')) a(e, a) ON contains(n, ' ' || a || ' ')),
+h AS (SELECT e, sum(n_chars) AS total, count(*) AS docs FROM l JOIN documents USING (doc_id) WHERE n_chars >= 400 GROUP BY e)
+SELECT e AS entity, docs, total::VARCHAR AS history, sum(total) OVER ()::VARCHAR AS portfolio FROM h
+""")
+def q6_partner_atlas(spark, sf):
+    """Records are inferred and filtered, matched to entities by their aliases; each entity's history is reduced, then the portfolio."""
+    d = docs(spark, sf).select("id", "doc_id", "lang", "source", "n_chars", "text")
+    kept = inf.infer(d.drop("text"), inf.InferSpec(Binding(tier="fast"), TRIAGE_PROMPT, schema=CLASS_SCHEMA), MODELS, max_attempts=1).records.where("size >= 400")
+    al = spark.createDataFrame([("gpl", "GNU General Public License"), ("apache", "Apache License"), ("mit", "MIT License"), ("cc", "CC BY-NC")], "entity string, alias string")
+    met = matching.mentions(d, al).select("doc_id", "entity").join(kept.select("doc_id", "size"), "doc_id")
+    history, _ = red.reduce_ai(with_key_seq(met, "entity", "doc_id"), ADDER, red.numbered_prompt("Add:"), item="size", output="history", key="entity")
+    whole, _ = red.reduce_ai(with_seq(history.select("entity", "history"), "entity"), ADDER, red.numbered_prompt("Add:"), item="history", output="portfolio")
+    counts = met.groupBy("entity").agg(F.count("*").alias("docs"))
+    one = F.lit(1).alias("all")
+    return history.select("entity", "history", one).join(counts, "entity").join(whole.select("portfolio", one), "all").select("entity", "docs", "history", "portfolio")
+
+
+@query("""
+WITH d AS (SELECT lang AS space, source AS label, n_chars FROM documents WHERE n_chars <= 2000), c AS (SELECT space, label, count(*) AS n, sum(n_chars) AS w FROM d GROUP BY ALL),
+t AS (SELECT space, count(*) AS k, sum(n) AS n, sum(w) AS total FROM c GROUP BY space), p AS (SELECT c.space, c.n / t.n AS p, k FROM c JOIN t USING (space))
+SELECT t.space, t.n AS n, t.total::VARCHAR AS summary, any_value(e.h) AS evenness FROM t JOIN (SELECT space, round(CASE WHEN any_value(k) > 1 THEN -sum(p * ln(p)) / ln(any_value(k)) ELSE 0 END, 6) AS h FROM p GROUP BY space) e USING (space) GROUP BY ALL
+""")
+def q7_agent_forge(spark, sf):
+    """A census: inference, a map, a reduction per space; and how evenly a space's labels are spread."""
+    d = docs(spark, sf).select("id", "doc_id", "lang", "source", "n_chars")
+    seen = inf.infer(d, inf.InferSpec(Binding(tier="fast"), TRIAGE_PROMPT, schema=CLASS_SCHEMA), MODELS, max_attempts=1).records.where("not urgent")
+    seen = seen.select("doc_id", F.col("lang").alias("space"), F.col("source").alias("label"), "size")
+    digest, _ = red.reduce_ai(with_key_seq(seen, "space", "doc_id"), ADDER, red.numbered_prompt("Add:"), item="size", output="summary", key="space")
+    counts = seen.groupBy("space", "label").agg(F.count("*").alias("n"))
+    even = red.normalized_entropy(counts, ["space"], "n").select("space", F.round("entropy", 6).alias("evenness"))
+    return digest.select("space", "summary").join(counts.groupBy("space").agg(F.sum("n").alias("n")), "space").join(even, "space")
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, octet_length(encode('<' || role || '>' || chr(10) || coalesce(text, '') || chr(10) || '</' || role || '>' || chr(10))) AS size FROM conversations),
+s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT turn AS round, count(*) AS tasks, sum(before)::BIGINT AS reused_bytes, sum(size)::BIGINT AS new_bytes, round(sum(before) / sum(before + size), 6) AS reused FROM s GROUP BY turn
+""")
+def q14_delta_session(spark, sf):
+    """A question per round over a growing transcript: what of each round's context the round before had already."""
+    s = context.spans(segments(spark, sf))
+    d = s.groupBy(F.col("seq").alias("round")).agg(F.count("*").alias("tasks"), F.sum("start").alias("reused_bytes"), F.sum("size").alias("new_bytes"))
+    return d.withColumn("reused", F.round(F.col("reused_bytes") / (F.col("reused_bytes") + F.col("new_bytes")), 6))
+
+
+@query("SELECT * FROM (VALUES (1, 'fresh', 6::BIGINT), (1, 'coalesced', 6), (2, 'class', 6), (3, 'class', 6)) t(round, origin, n)")
+def q12_commons(spark, sf):
+    """Four desks ask about six companies, each in its own words: two at once, two later.  Six calls instead of twenty-four."""
+    companies = spark.range(6).select(F.concat(F.lit("company-"), F.col("id").cast("string")).alias("company"))
+    desks = [("credit", 1, "How indebted is {}?"), ("news", 1, "What is the debt of {}"), ("risk", 2, "Debt level: {}"), ("sales", 3, "owes how much, {}?")]
+    facets = F.create_map(F.lit("company"), F.col("company"))
+    asks = companies.withColumn("desk", F.explode(F.array(*[F.struct(F.lit(a).alias("desk"), F.lit(b).alias("round"), F.lit(c).alias("form")) for a, b, c in desks]))).select("company", "desk.*")
+    text = F.replace("form", F.lit("{}"), F.col("company"))
+    asks = asks.select("desk", "round", "company", findings.question_key(F.lit("debt"), text, facets).alias("question_key"), findings.class_key(F.lit("debt"), facets).alias("class"), F.array(F.lit("debt")).alias("needs"))
+    asks = materialize(asks)
+    ledger = spark.createDataFrame([], "hash string, finding_id string, rev int, seq bigint, class string, question_key string, covers array<string>, retracted boolean, requires array<string>, scope string, learned timestamp, volatility string, sources array<string>, corroborations int, confidence double")
+    now, out = F.lit("2024-06-01 00:00:00").cast("timestamp"), None
+    for number in (1, 2, 3):
+        got = materialize(findings.consult(asks.where(F.col("round") == number), ledger, ledger.select("question_key", "hash"), findings.Policy(1, 0.5), now))
+        missed = got.where("tier = 'miss'").select(F.concat_ws("/", "desk", "company").alias("asker"), F.col("class").alias("flight"), "question_key")
+        fetched = findings.coalesce_askers(missed, lambda keys: keys.withColumn("answer", F.concat(F.lit("answer to "), F.col("flight"))))
+        fetched = materialize(fetched)
+        fresh = fetched.where("origin = 'fresh'")
+        ledger = materialize(ledger.unionByName(fresh.select(
+            F.sha2(F.col("answer").cast("binary"), 256).alias("hash"), F.col("flight").alias("finding_id"), F.lit(1).alias("rev"), F.lit(number).cast("bigint").alias("seq"), F.col("flight").alias("class"), "question_key", F.array(F.lit("debt")).alias("covers"), F.lit(False).alias("retracted"),
+            F.array().cast("array<string>").alias("requires"), F.lit("").alias("scope"), now.alias("learned"), F.lit("daily").alias("volatility"), F.array(F.lit("feed")).alias("sources"), F.lit(0).alias("corroborations"), F.lit(0.9).alias("confidence"),
+        )))
+        origins = got.where("tier <> 'miss'").select(F.col("tier").alias("origin")).union(fetched.select("origin"))
+        rows = origins.groupBy("origin").agg(F.count("*").alias("n")).select(F.lit(number).alias("round"), "origin", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
