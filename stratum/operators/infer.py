@@ -85,16 +85,26 @@ def shared_prefix(prefix: str, context: tuple[str, ...] = (), continuation: str
     return "\n".join(p for p in parts if p)
 
 
-def prefix_usage(prompt: Column, response: Column, prefix: str, pricing: Pricing, order: Column, *partition: Column, enabled: bool = True) -> dict[str, Column]:
-    """Usage with prefix caching: the first call of a (model, system, prefix) writes the prefix, later ones read it."""
+def prefix_usage(df: DataFrame, prompt: Column, response: Column, prefix: str, pricing: Pricing, order: str, *partition: str, enabled: bool = True) -> DataFrame:
+    """Adds usage with prefix caching: the first call of a (model, system, prefix) in the order writes the prefix, later ones read it.
+
+    partition names the columns that tell such triples apart.  The first call is
+    found by an aggregate, so no task sees all calls of a triple; order must tell
+    its rows apart.
+    """
     if not enabled or not prefix:
-        return usage_columns(F.concat(F.lit(prefix), prompt), response, pricing)
+        return df.withColumns(usage_columns(F.concat(F.lit(prefix), prompt), response, pricing))
     shared = len(prefix.encode()) // 4 + 1
-    first = F.row_number().over(Window.partitionBy(*(partition or (F.lit(0),))).orderBy(order)) == 1
+    keys = [F.col(c).alias(f"__{k}") for k, c in enumerate(partition)]
+    firsts = df.groupBy(*keys).agg(F.min(order).alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(partition)], F.col(order).eqNullSafe(F.col("__first")))
+    d = df.join(firsts, same, "left")
+    first = F.col("__first").isNotNull()
     inp, out = estimate_tokens(prompt), estimate_tokens(F.coalesce(response, F.lit("")))
     read = F.when(first, 0).otherwise(shared).cast("bigint")
     write = F.when(first, shared).otherwise(0).cast("bigint")
-    return {"input_tokens": inp, "output_tokens": out, "cache_read_tokens": read, "cache_write_tokens": write, "requests": F.lit(1).cast("bigint"), "cost_usd": pricing.cost(inp, out, read, write)}
+    d = d.withColumns({"input_tokens": inp, "output_tokens": out, "cache_read_tokens": read, "cache_write_tokens": write, "requests": F.lit(1).cast("bigint"), "cost_usd": pricing.cost(inp, out, read, write)})
+    return d.drop("__first", *[f"__{k}" for k in range(len(partition))])
 
 
 @dataclass

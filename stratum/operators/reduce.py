@@ -50,7 +50,7 @@ def reduce_ai(df: DataFrame, model: Model, prompt: Callable[[Column], Column], *
     depth = levels(top, k)
     for level, _ in enumerate(depth, 1):
         alone = None
-        if level > 1:  # keys that are done stay as they are
+        if level > 1 and key:  # keys that are done stay as they are; without keys the levels end when one record is left
             counts = cur.groupBy("__key").count()
             alone = cur.join(counts.where("count = 1"), "__key", "left_semi")
             cur = cur.join(counts.where("count > 1"), "__key", "left_semi")

@@ -256,8 +256,8 @@ def i9_prefix_cache(spark, sf):
     prefix = "You sort documents."
     d = docs(spark, sf)
     prompt = F.concat(F.lit("lang="), F.col("lang"))
-    u = inf.prefix_usage(prompt, F.lit("done"), prefix + " ok", FAST, F.col("doc_id"), F.col("lang"))
-    return d.select("doc_id", u["input_tokens"].alias("input_tokens"), u["cache_read_tokens"].alias("cache_read_tokens"), u["cache_write_tokens"].alias("cache_write_tokens"), F.round(u["cost_usd"], 9).alias("cost_usd"))
+    u = inf.prefix_usage(d.select("doc_id", "lang"), prompt, F.lit("done"), prefix + " ok", FAST, "doc_id", "lang")
+    return u.select("doc_id", "input_tokens", "cache_read_tokens", "cache_write_tokens", F.round("cost_usd", 9).alias("cost_usd"))
 
 
 def ladder_parts(spark, sf):
