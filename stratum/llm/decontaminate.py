@@ -36,7 +36,7 @@ WINDOW = 10
 #: Bytes of item text that one pass searches for.  A word takes some 16 bytes of a broadcast, so 4 MB of text make 12 MB, or 32 MB were all words one letter.
 BLOCK_BYTES = 4 << 20
 #: Words in one index.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Suffix positions kept: one in so many.
 SAMPLE = 8
 

@@ -26,7 +26,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch, unless the session sets its own bound: a worker holds one at a time, and the executor's JVM one for each task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BOUND, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 

@@ -2,7 +2,7 @@
 
 UTF-8 keeps every non-ASCII code point in bytes of 0x80 and above, so word
 classes that keep or drop all of non-ASCII can be decided byte by byte.  All
-functions work on *slabs*: a few megabytes of consecutive rows, never a part
+functions work on *slabs*: half a megabyte of consecutive rows, never a part
 of a row, so that memory is bounded by the slab size plus the longest text.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time.
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
