@@ -8,9 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from ..storage import materialize
+from ..storage import append, materialize, read_appended
 
 LINEAGE = "artifact string, run_id string, stage string, op string, model string, inputs array<string>, broadcasts map<string,string>"
 
@@ -44,10 +43,7 @@ class ResultCache:
         self.spark, self.path = spark, path
 
     def table(self) -> DataFrame:
-        try:
-            return self.spark.read.schema("key string, stage string, value string").parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], "key string, stage string, value string")
+        return read_appended(self.spark, self.path, "key string, stage string, value string")
 
     def apply(self, df: DataFrame, stage: str, fp: str, inputs: list[str], compute: Callable[[DataFrame], DataFrame], output: str) -> tuple[DataFrame, int, int]:
         """(records with their output, hits, misses)."""
@@ -58,7 +54,7 @@ class ResultCache:
         hits = keyed.join(known, "__key", "left_semi").count()
         if n_miss:
             made = materialize(compute(misses).select("__key", F.col(output).cast("string").alias("value")).where("value is not null"))
-            made.select(F.col("__key").alias("key"), F.lit(stage).alias("stage"), "value").write.mode("append").parquet(self.path)
+            append(made.select(F.col("__key").alias("key"), F.lit(stage).alias("stage"), "value"), self.path)
             known = known.unionByName(made)
         return keyed.join(known, "__key", "left").withColumnRenamed("value", output).drop("__key"), hits, n_miss
 

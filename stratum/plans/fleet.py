@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache import canonical_json, content_hash
+from ..storage import append, read_appended
 
 
 class Bus:
@@ -44,16 +45,11 @@ class Board:
 
     def post(self, topic: str, agent: str, value) -> str:
         version = content_hash(value)
-        self.spark.createDataFrame([(topic, agent, version, canonical_json(value), time.time())], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        append(self.spark.createDataFrame([(topic, agent, version, canonical_json(value), time.time())], self.SCHEMA).coalesce(1), self.path)
         return version
 
     def posts(self, topic: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            d = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except AnalysisException:
-            d = self.spark.createDataFrame([], self.SCHEMA)
+        d = read_appended(self.spark, self.path, self.SCHEMA)
         return d.where(F.col("topic") == topic).groupBy("version").agg(F.min_by("value", "at").alias("value"), F.min_by("agent", "at").alias("agent"), F.min("at").alias("at")).orderBy("at", "version")
 
     def wait(self, topic: str, n: int, timeout: float = 60.0, poll: float = 0.2) -> list:

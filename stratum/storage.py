@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +28,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def append(df: DataFrame, path: str, format: str = "parquet") -> None:
+    """Adds rows to a store, in a folder of their own: writers side by side that append to one folder would clear each other's temporary files."""
+    df.write.format(format).save(f"{path}/add-{uuid.uuid4().hex}")
+
+
+def read_appended(spark: SparkSession, path: str, schema: T.StructType | str, format: str = "parquet") -> DataFrame:
+    """All that was appended; lines that can't be read are left out, no store is an empty one."""
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
+    try:
+        return (reader.option("mode", "DROPMALFORMED") if format == "json" else reader).format(format).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def with_seq(df: DataFrame, *order: str, name: str = "_seq") -> DataFrame:
     """Adds a contiguous number from 0 in a global order.
 
