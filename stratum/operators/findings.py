@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 # How long an answer of each volatility stays fresh, in hours (none: for ever).
 HORIZON_HOURS = {"static": None, "slow": 30 * 24, "daily": 24, "hourly": 1, "live": 0}
 
@@ -262,5 +265,54 @@ def coalesce_askers(askers: DataFrame, fetch) -> DataFrame:
     return marked.join(fetch(askers.select("flight").distinct()), "flight", "left")
 
 
+# Names of arguments that hold a tool's question, the likeliest first.
+TEXT_ARGS = ("query", "question", "q", "search", "prompt", "text", "input", "url", "uri")
+
+
+def tool_question(args: Column, topic: str) -> Column:
+    """The question of a tool call as a struct of its text and keys: the first argument of a question's name that is not blank, else the only argument that is not; all others are facets.  Null where there is none."""
+    filled = F.map_filter(args, lambda _, v: F.trim(v) != "")
+    alone = F.when(F.size(filled) == 1, F.element_at(F.map_keys(filled), 1))
+    name = F.coalesce(*[F.when(F.map_contains_key(filled, F.lit(n)), n) for n in TEXT_ARGS], alone)
+    text = F.element_at(args, name)
+    facets = F.map_filter(args, lambda k, _: k != name)
+    asked = F.struct(text.alias("text"), question_key(F.lit(topic), text, facets).alias("question_key"), class_key(F.lit(topic), facets).alias("class"))
+    return F.when(name.isNotNull(), asked)
+
+
+def guard(calls: DataFrame, tool: Callable[[Column], Column], revisions: DataFrame, aliases: DataFrame, policy: Policy, now: Column, *, name: str, needs: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(calls with text, origin and finding, new revisions): a tool whose calls are looked up before they are made.
+
+    calls: asker (tells calls apart) and args, a map of texts.  Revisions also
+    hold `answer` and `topic`.  A call without a question goes to the tool
+    (`direct`).  Of the calls that nothing in the ledger answers, those of one
+    class (of one question, where there are no facets) share one fetch, made
+    with the arguments of the first asker.  An empty answer is learned too, as
+    no evidence.
+    """
+    wanted = F.array(*[F.lit(n) for n in needs]).cast("array<string>")
+    asked = calls.withColumn("__q", tool_question(F.col("args"), name))
+    none = F.lit(None).cast("string")
+    direct = asked.where("__q is null").select(*calls.columns, tool(F.col("args")).alias("text"), F.lit("direct").alias("origin"), none.alias("finding"))
+    own = asked.where("__q is not null").select(*calls.columns, F.col("__q.question_key").alias("question_key"), F.col("__q.class").alias("class"), wanted.alias("needs"))
+    got = consult(own, revisions, aliases, policy, now)
+    said = revisions.select("hash", F.col("answer").alias("text")).dropDuplicates(["hash"])
+    served = got.where("tier <> 'miss'").join(said, "hash").select(*calls.columns, "text", F.col("tier").alias("origin"), F.col("hash").alias("finding"))
+    missed = got.where("tier = 'miss'").withColumn("flight", F.when(F.col("class") != "", F.col("class")).otherwise(F.col("question_key")))
+    # maps have no order, so the first asker's arguments come by its place
+    firsts = missed.groupBy("flight").agg(F.min_by(F.struct("asker", "args", "question_key", "class"), "asker").alias("first"))
+    firsts = firsts.withColumn("text", tool(F.col("first.args"))).withColumn("no_evidence", F.coalesce(F.trim("text") == "", F.lit(True)))
+    empty = F.create_map().cast("map<string,string>")
+    told = firsts.withColumn("hash", knowledge_hash(F.concat_ws("/", F.lit(name), "flight"), F.coalesce("text", F.lit("")), empty, wanted, F.col("no_evidence")))
+    told = materialize(told)
+    origin = F.when(F.col("asker") == F.col("first.asker"), "fresh").otherwise("coalesced")
+    fetched = missed.drop("hash").join(told.select("flight", "first", "text", "hash"), "flight").select(*calls.columns, "text", origin.alias("origin"), F.col("hash").alias("finding"))
+    learned = told.select(
+        "hash", F.col("flight").alias("finding_id"), F.lit(1).alias("rev"), F.lit(0).cast("bigint").alias("seq"), F.col("first.class").alias("class"), F.col("first.question_key").alias("question_key"),
+        F.lit(name).alias("topic"), F.col("text").alias("answer"), "no_evidence", wanted.alias("covers"), F.array(F.lit(name)).alias("sources"), now.alias("learned"),
+    )
+    return direct.unionByName(served).unionByName(fetched), learned
+
+
 def topic_stats(entries: DataFrame) -> DataFrame:
     return entries.groupBy("topic").agg(F.count("*").alias("entries"), F.count_if(~F.coalesce("retracted", F.lit(False))).alias("live"), F.count_if(F.coalesce("no_evidence", F.lit(False))).alias("no_evidence"), F.sum("cost_usd").alias("cost_usd"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import append, read_appended
+
 MIN_SAMPLES = 25
 PROBE_RATE = 0.05
 OUTPUT_SHARE = 0.25
@@ -45,6 +47,23 @@ def merge_profiles(*profiles: DataFrame) -> DataFrame:
     return out.groupBy("stage", "bucket", "rung").agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected", "starts")])
 
 
+#: Version of a stored profile; rows of others are not read.
+PROFILE_VERSION = 1
+PROFILE = "stage string, bucket string, rung int, accepted bigint, rejected bigint, starts bigint"
+
+
+def save_profile(counts: DataFrame, path: str) -> None:
+    """Appends what a run has learned, one row per stage, bucket and rung; nothing learned adds no rows."""
+    own = merge_profiles(counts).withColumn("version", F.lit(PROFILE_VERSION))
+    append(own.where("accepted + rejected + starts > 0"), path, "json")
+
+
+def load_profile(spark: SparkSession, path: str) -> DataFrame:
+    """The sum of all that was appended, in whatever order; torn rows and other versions are left out, no file is an empty profile."""
+    rows = read_appended(spark, path, PROFILE + ", version int", "json")
+    return merge_profiles(rows.where(F.col("version") == PROFILE_VERSION).drop("version"))
+
+
 def decide(counts: DataFrame, prices: list[float], *, min_samples: int = MIN_SAMPLES, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """Per stage and bucket: the expected cost from each rung, and the cheapest rung to start at.
 

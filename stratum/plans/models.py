@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import estimate_tokens
+from .limits import Limits, RateLimiter
 
 # Failure classes.
 TRANSIENT, SEMANTIC, PERMANENT, BUDGET = "transient", "semantic", "permanent", "budget"
@@ -64,7 +65,9 @@ class Pricing:
 class Model:
     """`answer` makes a response Column from a prompt Column (expression model), or `call` a response from a prompt text (UDF model).
 
-    An answer of null is a semantic failure.  `call` may raise ModelError.
+    An answer of null is a semantic failure.  `call` may raise ModelError.  With
+    `tasks`, that many tasks call side by side, each within its share of the
+    limits, so together they keep to them.
     """
 
     name: str
@@ -74,17 +77,28 @@ class Model:
     call: Callable[[str], str] | None = None
     requests_per_minute: int = 0
     tokens_per_minute: int = 0
+    max_concurrent: int = 0
+    tasks: int = 0
 
     def respond(self, df: DataFrame, prompt_col: str, out_col: str) -> DataFrame:
         """Adds the response; the UDF form also adds <out>_error and <out>_class."""
         if self.answer is not None:
             return df.withColumns({out_col: self.answer(F.col(prompt_col)), f"{out_col}_error": F.lit(None).cast("string"), f"{out_col}_class": F.lit(None).cast("string")})
-        call, at, names = self.call, df.columns.index(prompt_col), df.columns
+        call, at, names, limits = self.call, df.columns.index(prompt_col), df.columns, None
+        if self.tasks:
+            df, limits = df.repartition(self.tasks), Limits(self.requests_per_minute, self.tokens_per_minute, self.max_concurrent).share(self.tasks)
         schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in (out_col, f"{out_col}_error", f"{out_col}_class"))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            limiter, own = RateLimiter(), call
+            if limits is not None:
+
+                def own(prompt: str) -> str:
+                    with limiter.admit("", limits, len(prompt.encode()) // 4 + 1):
+                        return call(prompt)
+
             for b in batches:
-                got = [call_with_retry(call, p) for p in b.column(at).to_pylist()]
+                got = [call_with_retry(own, p) for p in b.column(at).to_pylist()]
                 extra = [pa.array(c, pa.string()) for c in (zip(*got, strict=True) if got else ([], [], []))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*names, out_col, f"{out_col}_error", f"{out_col}_class"])
 

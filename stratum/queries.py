@@ -12,14 +12,16 @@ from pyspark.sql import types as T
 from .functions import text as txt
 from .functions import values as val
 from .functions.conditions import Cond
+from .functions.tables import lateral, table_function
 from .functions.templates import compile_template
 from .operators import cache, context, cost, findings, graph, matching, report, route
 from .operators import infer as inf
 from .operators import reduce as red
 from .operators import windows as win
+from .plans.limits import Limits, admission
 from .plans.models import Binding, Model, Pricing, Registry
 from .plans.pipeline import Pipeline
-from .sources import kafka, sinks
+from .sources import kafka, ledger, sinks
 from .storage import materialize, shared_dir, with_key_seq, with_seq
 from .streaming import jobs
 
@@ -1253,3 +1255,230 @@ def q12_commons(spark, sf):
         rows = origins.groupBy("origin").agg(F.count("*").alias("n")).select(F.lit(number).alias("round"), "origin", "n")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# stores, limits, guards, table functions
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang, CASE WHEN octet_length(encode(coalesce(text, ''))) // 4 + 1 > 20000 THEN 20000.0 ELSE octet_length(encode(coalesce(text, ''))) // 4 + 1 END AS need FROM documents)
+SELECT doc_id, lang, round(greatest(0, (sum(need) OVER (PARTITION BY lang ORDER BY doc_id) - 20000) / (20000 / 60)), 3) AS admitted FROM d
+""")
+def x4_admission(spark, sf):
+    """When each call is let in by a limit of tokens per minute, where a model per language is called for every document."""
+    tokens = (F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("bigint") + 1
+    d = docs(spark, sf).select("doc_id", "lang", tokens.alias("tokens"))
+    return admission(d, Limits(tokens_per_minute=20_000), model="lang", tokens=F.col("tokens"), order="doc_id").select("doc_id", "lang", F.round("admitted", 3).alias("admitted"))
+
+
+@query("""
+WITH l AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id)), a AS (SELECT lang, 0 AS rung, quality = 1 AS ok FROM l UNION ALL SELECT lang, 1, true FROM l WHERE quality <> 1)
+SELECT lang AS bucket, rung, 2 * count(*) FILTER (ok) AS accepted, 2 * count(*) FILTER (NOT ok) AS rejected, CASE WHEN rung = 0 THEN 2 * count(*) ELSE 0 END AS starts FROM a GROUP BY 1, 2
+""")
+def x12_profile_store(spark, sf):
+    """Two runs append what they learned; an empty one appends nothing."""
+    path = f"{shared_dir(spark)}/profile-{uuid.uuid4().hex}"
+    counts = materialize(route.profile(attempts_by_lang(spark, sf)))
+    for learned in (counts, counts.limit(0), counts):
+        route.save_profile(learned, path)
+    return route.load_profile(spark, path).drop("stage")
+
+
+@query("SELECT count(*) AS entries, count(DISTINCT o_custkey) AS findings, count(DISTINCT o_custkey) FILTER (n = 1 AND o_orderkey % 10 <> 0) AS live FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7 DESC, o_orderkey DESC) AS n FROM orders)")
+def s26_ledger_store(spark, sf):
+    """A ledger appended to twice, in parts that overlap, and read as a source."""
+    path, e = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", entries(spark, sf)
+    ledger.append_entries(e.where("seq % 3 < 2"), path)
+    ledger.append_entries(e.where("seq % 3 > 0"), path)
+    got = ledger.read_entries(spark, path, e.schema)
+    live = findings.live_heads(got).agg(F.count("*").alias("live"))
+    return got.agg(F.count("*").alias("entries"), F.count_distinct("finding_id").alias("findings")).crossJoin(live)
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 10 = 0 THEN 'direct' WHEN o_custkey % 3 = 0 THEN 'class' WHEN row_number() OVER (PARTITION BY o_orderkey % 10 = 0, o_custkey ORDER BY o_orderkey) = 1 THEN 'fresh' ELSE 'coalesced' END AS origin FROM orders)
+SELECT origin, count(*) AS calls, count(*) FILTER (CASE WHEN origin = 'class' THEN false ELSE c % 5 = 0 END) AS empty, 'all' AS part FROM c GROUP BY origin
+UNION ALL SELECT 'learned', count(*) FILTER (origin = 'fresh'), count(*) FILTER (origin = 'fresh' AND c % 5 = 0), 'ledger' FROM c
+""")
+def k19_guard(spark, sf):
+    """Calls of a research tool, each order's in its own words about its customer; every tenth names no question, a third of the customers are known."""
+    o = table(spark, sf, "orders")
+    customer = F.col("o_custkey").cast("string")
+    words = F.concat(F.lit("What does "), F.when(F.col("o_orderkey") % 2 == 0, "customer").otherwise("client"), F.lit(" "), customer, F.lit(" owe?"))
+    args = F.when(F.col("o_orderkey") % 10 == 0, F.create_map(F.lit("customer"), customer, F.lit("part"), F.lit("all"))).otherwise(F.create_map(F.lit("query"), words, F.lit("customer"), customer))
+    calls = o.select(F.col("o_orderkey").alias("asker"), args.alias("args"))
+    facets = F.create_map(F.lit("customer"), customer)
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    known = o.where("o_custkey % 3 = 0").select("o_custkey").distinct()
+    none = F.array().cast("array<string>")
+    revisions = known.select(
+        F.sha2(customer.cast("binary"), 256).alias("hash"), customer.alias("finding_id"), F.lit(1).alias("rev"), F.col("o_custkey").alias("seq"), findings.class_key(F.lit("desk"), facets).alias("class"), F.concat(F.lit("known "), customer).alias("answer"),
+        F.array(F.lit("debt")).alias("covers"), F.lit(False).alias("retracted"), none.alias("requires"), F.lit("").alias("scope"), now.alias("learned"), F.lit("daily").alias("volatility"), F.array(F.lit("feed")).alias("sources"), F.lit(0).alias("corroborations"), F.lit(0.9).alias("confidence"),
+    )
+    aliases = spark.createDataFrame([], "question_key string, hash string")
+    tool = lambda a: F.when(F.element_at(a, "customer").cast("bigint") % 5 == 0, "").otherwise(F.concat(F.lit("owes "), F.element_at(a, "customer")))
+    got, learned = findings.guard(calls, tool, revisions, aliases, findings.Policy(1, 0.5), now, name="desk", needs=("debt",))
+    empty = F.count_if(F.trim("text") == "").alias("empty")
+    rows = got.groupBy("origin").agg(F.count("*").alias("calls"), empty).withColumn("part", F.lit("all"))
+    return rows.unionByName(learned.agg(F.lit("learned").alias("origin"), F.count("*").alias("calls"), F.count_if("no_evidence").alias("empty"), F.lit("ledger").alias("part")))
+
+
+class _Runs:
+    """Runs of equal characters of a text, with their lengths."""
+
+    def eval(self, text: str):
+        start, text = 0, text or ""
+        for k in range(1, len(text) + 1):
+            if k == len(text) or text[k] != text[start]:
+                if k - start >= 2:
+                    yield text[start], k - start
+                start = k
+
+
+@query("SELECT o_orderkey, m[1:1] AS mark, length(m) AS n FROM (SELECT o_orderkey, unnest(regexp_extract_all(o_orderkey::VARCHAR, '0{2,}|1{2,}|2{2,}|3{2,}|4{2,}|5{2,}|6{2,}|7{2,}|8{2,}|9{2,}')) AS m FROM orders)")
+def p19_table_function(spark, sf):
+    """Beside each order the runs of equal digits of its key, by a table function in Python over Arrow batches."""
+    runs = table_function(_Runs, "mark string, n bigint")
+    return lateral(table(spark, sf, "orders").select("o_orderkey"), runs, F.col("o_orderkey").cast("string"))
+
+
+# more end-to-end shapes
+
+
+@query("""
+SELECT 'classify' AS stage, 0 AS rung, count(*) AS calls, NULL::VARCHAR AS total FROM documents UNION ALL SELECT 'classify', 1, count(*), NULL FROM documents WHERE lang = 'fr' HAVING count(*) > 0
+UNION ALL SELECT 'draft', 0, count(*), NULL FROM documents WHERE n_chars > 2000 HAVING count(*) > 0 UNION ALL SELECT 'briefing', 0, NULL, sum(2 * n_chars)::VARCHAR FROM documents WHERE n_chars > 2000 HAVING count(*) > 0
+""")
+def q2_constellation(spark, sf):
+    """Two model stages in a chain, the first with a ladder; a filter between them, a reduction of three at a time after them."""
+    fast = Model("mock-fast", "fast", FAST, answer=lambda p: F.when(p.contains("lang=fr"), "unsure").when(p.startswith("lang="), triage_answer(p)).otherwise((F.regexp_extract(p, r"of (\d+)", 1).cast("bigint") * 2).cast("string")))
+    deep = Model("mock-deep", "deep", DEEP, answer=lambda p: F.when(p.startswith("lang="), triage_answer(p)).otherwise(sum_answer(p)))
+    reg = Registry(fast, deep)
+    p = Pipeline("constellation")
+    src = p.from_func("tickets", lambda s: docs(s, sf).select("id", "doc_id", "lang", "source", "n_chars"))
+    urgent = src.infer("classify", inf.InferSpec(Binding(tier="fast", escalate=("mock-deep",)), TRIAGE_PROMPT, schema=CLASS_SCHEMA), max_attempts=2).filter("urgent-only", F.col("urgent"))
+    drafted = urgent.infer("draft", inf.InferSpec(Binding(tier="fast"), "A reply for a {{.category}} ticket of {{.size}}"), max_attempts=1)
+    drafted.reduce_ai("briefing", Binding(tier="deep"), red.numbered_prompt("Add:"), item="output", output="summary", fan_in=3)
+    plan, got = p.run(spark, reg, id_col="doc_id")
+    none = F.lit(None)
+    calls = [got.attempts[k].groupBy("rung").agg(F.count("*").alias("calls")).select(F.lit(k).alias("stage"), "rung", "calls", none.cast("string").alias("total")) for k in ("classify", "draft")]
+    return calls[0].unionByName(calls[1]).unionByName(got.output(plan).select(F.lit("briefing").alias("stage"), F.lit(0).alias("rung"), none.cast("bigint").alias("calls"), F.col("summary").alias("total")))
+
+
+@query("""
+WITH m AS (SELECT n_nationkey AS k, n_name AS title, unnest(range(n_nationkey % 5 + 3)) AS j FROM nation), kept AS (SELECT * FROM m WHERE (j + k) % 4 <> 3),
+l AS (SELECT a.k, a.title, a.j, a.j = 0 OR b.j IS NOT NULL AS linked FROM kept a LEFT JOIN kept b ON a.k = b.k AND b.j = a.j - 1)
+SELECT title, string_agg('m' || j || ':' || (100 * (j + 1)), ',' ORDER BY j) AS bundle, count(*) AS modules, count(*) FILTER (NOT linked) AS unlinked FROM l GROUP BY title
+""")
+def q8_game_forge(spark, sf):
+    """A model's breakdown of each pitch fans out to modules; those that need what is not granted go, the rest are built, linted, linked and woven in order."""
+    pitches = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), "n_nationkey", F.col("n_name").alias("title"))
+    module = T.StructType([T.StructField("id", T.StringType()), T.StructField("uses", T.ArrayType(T.StringType())), T.StructField("needs", T.ArrayType(T.StringType())), T.StructField("rank", T.LongType())])
+
+    def breakdown(p: Column) -> Column:
+        k = F.regexp_extract(p, r"pitch (\d+)", 1).cast("bigint")
+        one = lambda j: F.struct(F.concat(F.lit("m"), j.cast("string")).alias("id"), F.when(j > 0, F.array(F.concat(F.lit("m"), (j - 1).cast("string")))).otherwise(F.array()).alias("uses"), F.array(F.when((j + k) % 4 == 3, "network").otherwise("canvas2d")).alias("needs"), j.alias("rank"))
+        return F.to_json(F.struct(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 5 + 2), one).alias("modules")))
+
+    director = Model("director", "deep", DEEP, answer=breakdown)
+    engineer = Model("engineer", "fast", FAST, answer=lambda p: ((F.regexp_extract(p, r"module m(\d+)", 1).cast("bigint") + 1) * 100).cast("string"))
+    granted = F.array(F.lit("canvas2d"), F.lit("keyboard"))
+    p = Pipeline("design")
+    concept = p.from_func("brief", lambda s: pitches).infer("concept", inf.InferSpec(Binding(tier="deep"), "The modules of pitch {{.n_nationkey}}", schema=T.StructType([T.StructField("modules", T.ArrayType(module))]), validate=lambda: F.size("modules") >= 3), max_attempts=1)
+    fanned = concept.flat_map("modules", F.col("modules"), output="module").map("fields", {"id": F.concat_ws("/", "title", "module.id"), "name": F.col("module.id"), "uses": F.col("module.uses"), "needs": F.col("module.needs"), "rank": F.col("module.rank")})
+    kept = fanned.filter("granted", F.size(F.array_except("needs", granted)) == 0)
+    kept.infer("implement", inf.InferSpec(Binding(tier="fast"), "Write module {{.name}}", output="size"), max_attempts=1)
+    plan, got = p.run(spark, Registry(director, engineer), id_col="id")
+    built = materialize(got.output(plan).select("title", "name", "uses", "size", "rank"))
+    # lint and link: what a module uses must have been built
+    wanted = built.select("title", "name", F.explode("uses").alias("used"))
+    have = built.select("title", F.col("name").alias("used"))
+    missing = wanted.join(have, ["title", "used"], "left_anti").groupBy("title").agg(F.count_distinct("name").alias("unlinked"))
+    numbered = with_key_seq(built.withColumn("part", F.concat_ws(":", "name", "size")), "title", "rank")
+    woven = red.fold(numbered, F.col("part"), lambda a, b: F.concat_ws(",", a, b), key="title")
+    value = next(c for c in woven.columns if c != "title")
+    counts = built.groupBy("title").agg(F.count("*").alias("modules"))
+    return woven.select("title", F.col(value).alias("bundle")).join(counts, "title").join(missing, "title", "left").select("title", "bundle", "modules", F.coalesce("unlinked", F.lit(0)).alias("unlinked"))
+
+
+@query("SELECT lang AS beat, sum(n_chars)::VARCHAR AS finding FROM documents GROUP BY lang UNION ALL SELECT 'front-page', sum(n_chars)::VARCHAR FROM documents")
+def q13_newsroom(spark, sf):
+    """A desk per language reads its documents and posts one finding; the front page is written from the board."""
+    from .plans.fleet import Board, Fleet
+
+    base = f"{shared_dir(spark)}/newsroom-{uuid.uuid4().hex}"
+    board = Board(spark, base)
+    reader = Model("reader", "fast", FAST, answer=lambda p: F.regexp_extract(p, r"of (\d+)", 1))
+    reg = Registry(reader, ADDER)
+    beats = [r[0] for r in docs(spark, sf).select("lang").distinct().orderBy("lang").collect()]
+
+    def desk(beat: str):
+        def agent(s, b):
+            p = Pipeline(f"beat-{beat}")
+            read = p.from_func("briefs", lambda s: docs(s, sf).where(F.col("lang") == beat).select("id", "doc_id", "n_chars")).infer("read", inf.InferSpec(Binding(tier="fast"), "A brief of {{.n_chars}}"), max_attempts=1)
+            read.reduce_ai("finding", Binding(tier="deep"), red.numbered_prompt("Add:"), item="output", output="finding", fan_in=6)
+            plan, got = p.run(s, reg, id_col="doc_id")
+            return b.post("findings", beat, {"beat": beat, "finding": got.output(plan).first()["finding"]})
+
+        return agent
+
+    fleet = Fleet(spark, board, workers=3)
+    for beat in beats:
+        fleet.add(beat, desk(beat))
+    _, reports = fleet.run()
+    failed = [f"{r.name}: {r.error}" for r in reports if r.error]
+    if failed:
+        raise RuntimeError("; ".join(failed))
+    told = board.posts("findings").select(F.from_json("value", "beat string, finding string").alias("v")).select("v.*")
+    front, _ = red.reduce_ai(with_seq(told, "beat"), ADDER, red.numbered_prompt("Add:"), item="finding", output="page")
+    return told.unionByName(front.select(F.lit("front-page").alias("beat"), F.col("page").alias("finding")))
+
+
+@query("""
+WITH t AS (SELECT n_chars, n_chars % 9 = 0 AS hard, CASE WHEN n_chars >= 3000 THEN 'sev1' ELSE 'sev4' END AS severity FROM documents), p AS (SELECT * FROM t WHERE severity = 'sev1')
+SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM t WHERE hard) AS triage_calls, 0.0::DOUBLE AS cost_usd, (SELECT count(*) FROM p) AS paged, (SELECT sum(n_chars)::VARCHAR FROM p) AS brief
+""")
+def q15_on_device(spark, sf):
+    """Two local rungs that cost nothing: an answer that fails the check is asked again on the larger one; pageable incidents become one brief."""
+    schema = T.StructType([T.StructField("severity", T.StringType()), T.StructField("paging", T.BooleanType()), T.StructField("size", T.LongType())])
+
+    def triage(careful: bool):
+        def answer(p: Column) -> Column:
+            n = F.regexp_extract(p, r"of (\d+)", 1).cast("bigint")
+            severity = F.when(n >= 3000, "sev1").otherwise("sev4")
+            severity = severity if careful else F.when(n % 9 == 0, "critical").otherwise(severity)
+            return F.when(p.startswith("Add:"), sum_answer(p)).otherwise(F.to_json(F.struct(severity.alias("severity"), (n >= 3000).alias("paging"), n.alias("size"))))
+
+        return answer
+
+    reg = Registry(Model("local-fast", "fast", Pricing(), answer=triage(False), max_concurrent=4), Model("local-deep", "deep", Pricing(), answer=triage(True), max_concurrent=1))
+    p = Pipeline("on-device")
+    spec = inf.InferSpec(Binding(tier="fast", escalate=("local-deep",)), "An incident of {{.n_chars}}", schema=schema, validate=lambda: F.col("severity").isin("sev1", "sev2", "sev3", "sev4"))
+    triaged = p.from_func("incidents", lambda s: docs(s, sf).select("id", "doc_id", "n_chars")).infer("triage", spec, max_attempts=2)
+    triaged.filter("pageworthy", F.col("paging")).reduce_ai("brief", Binding(model="local-deep"), red.numbered_prompt("Add:"), item="size", output="brief", fan_in=4)
+    plan, got = p.run(spark, reg, id_col="doc_id")
+    calls = got.attempts["triage"].agg(F.count("*").alias("triage_calls"), F.sum("cost_usd").alias("cost_usd"))
+    paged = got.outputs["pageworthy"].agg(F.count("*").alias("paged"))
+    one = F.lit(1).alias("all")
+    return calls.select("*", one).join(paged.select("paged", one), "all").join(got.output(plan).select("brief", one), "all", "left").drop("all")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 'restock_eta' WHEN c_custkey % 11 = 0 THEN 'delete_all' ELSE 'stock_level' END AS tool,
+  'product ' || c_custkey || ': ' || CASE WHEN c_custkey % 3 = 1 THEN '"' || (c_custkey % 30) || ' days"' WHEN c_custkey % 11 = 0 THEN 'refused' ELSE (c_custkey * 7 % 100)::VARCHAR END AS reply FROM customer
+""")
+def q16_tool_desk(spark, sf):
+    """A tool names the product, a model chooses the tool that answers, the tool is called within its grants, a model replies; a tool that is not allowed is an error of its row."""
+    tools = report.Tools(lookup=lambda sku: f"product {sku}", stock_level=lambda sku: sku * 7 % 100, restock_eta=lambda sku: f"{sku % 30} days")
+    envelope = report.Envelope("desk", report.Grants(frozenset({"tool:lookup", "tool:stock_level", "tool:restock_eta"})))
+    q = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_custkey", F.lit("lookup").alias("first"), F.format_string('{"sku": %d}', F.col("c_custkey")).alias("args"))
+    named = tools.dispatch(q, envelope, "first", "args", "named").withColumn("product", F.from_json(F.concat(F.lit('{"v":'), "named", F.lit("}")), "v string")["v"])
+    ask = F.when(F.col("c_custkey") % 3 == 1, "when can you restock?").when(F.col("c_custkey") % 11 == 0, "delete it all").otherwise("is it in stock?")
+    named = named.select("id", "c_custkey", "product", "args", ask.alias("ask"))
+    choice = lambda p: F.when(p.contains("restock"), "restock_eta").when(p.contains("delete"), "delete_all").otherwise("stock_level")
+    router = Model("router", "fast", FAST, answer=lambda p: F.to_json(F.struct(choice(p).alias("tool"))))
+    writer = Model("writer", "deep", DEEP, answer=lambda p: p)
+    chosen = inf.infer(named, inf.InferSpec(Binding(tier="fast"), "Product {{.product}}. Question: {{.ask}}", schema=T.StructType([T.StructField("tool", T.StringType())])), Registry(router), max_attempts=1).records
+    called = tools.dispatch(chosen, envelope, "tool", "args", "result").withColumn("result", F.coalesce("result", F.lit("refused")))
+    got = inf.infer(called, inf.InferSpec(Binding(tier="deep"), "{{.product}}: {{.result}}", output="reply"), Registry(writer), max_attempts=1).records
+    return got.select("c_custkey", "tool", "reply")
