@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,32 +40,39 @@ def reduce_ai(df: DataFrame, model: Model, prompt: Callable[[Column], Column], *
     output field falls back on the output field, so upper levels read lower
     summaries.  Levels are known beforehand from one count; each group has at
     most `fan_in` items.  A record that is alone still costs one call.
+
+    With keys each record tells how many its key has left, so that a level is a
+    filter over the one before, and the plan grows by one part a level.
     """
     k = fan_in if fan_in > 1 else 8
     has_output = output in df.columns and output != item
     text = F.coalesce(F.nullif(F.col(item).cast("string"), F.lit("")), F.col(output).cast("string") if has_output else F.lit(None), F.lit(""))
     cols = [F.col(key).alias("__key")] if key else [F.lit("").alias("__key")]
     cur = df.select(*cols, F.col(seq).alias("__seq"), text.alias("__item"), F.lit(1).cast("bigint").alias("__size"))
-    top = cur.groupBy("__key").count().agg(F.max("count")).first()[0] or 0
-    calls = None
+    counts = cur.groupBy("__key").count()
+    top = counts.agg(F.max("count")).first()[0] or 0
+    calls, done = None, []
     depth = levels(top, k)
+    # without keys the levels end when one record is left
+    keyed = key is not None and len(depth) > 1
     for level, _ in enumerate(depth, 1):
-        alone = None
-        if level > 1 and key:  # keys that are done stay as they are; without keys the levels end when one record is left
-            counts = cur.groupBy("__key").count()
-            alone = cur.join(counts.where("count = 1"), "__key", "left_semi")
-            cur = cur.join(counts.where("count > 1"), "__key", "left_semi")
-        grouped = cur.groupBy("__key", F.floor(F.col("__seq") / k).alias("__group")).agg(F.array_sort(F.collect_list(F.struct("__seq", "__item"))).alias("__rows"), F.count("*").alias("__size"))
-        grouped = grouped.withColumn("__items", F.transform("__rows", lambda r: r["__item"]))
-        called = model.respond(grouped.withColumn("__prompt", prompt(F.col("__items"))), "__prompt", "__answer")
+        grouped = cur.groupBy("__key", F.floor(F.col("__seq") / k).alias("__group"), *(["__left"] if keyed and level > 1 else [])).agg(F.array_sort(F.collect_list(F.struct("__seq", "__item"))).alias("__rows"), F.count("*").alias("__size"))
+        if keyed and level == 1:
+            per_key = counts.select(F.col("__key").alias("__of"), F.col("count").alias("__left"))
+            grouped = grouped.join(per_key, F.col("__key").eqNullSafe(F.col("__of"))).drop("__of")
+        left = [F.ceil(F.col("__left") / k).alias("__left")] if keyed else []
+        called = model.respond(grouped.withColumn("__prompt", prompt(F.transform("__rows", lambda r: r["__item"]))), "__prompt", "__answer")
+        usage = usage_columns(F.col("__prompt"), F.col("__answer"), model.pricing)
+        called = called.select("__key", "__group", "__size", strip(F.col("__answer")).alias("__item"), *left, *[c.alias(n) for n, c in usage.items()])
         if len(depth) > 1 or model.answer is None:
             called = materialize(called)
-        usage = usage_columns(F.col("__prompt"), F.col("__answer"), model.pricing)
-        made = called.select(F.col("__key").alias("key"), F.lit(level).alias("level"), F.col("__group").alias("group"), F.col("__size").alias("n_items"), *[c.alias(n) for n, c in usage.items()])
+        made = called.select(F.col("__key").alias("key"), F.lit(level).alias("level"), F.col("__group").alias("group"), F.col("__size").alias("n_items"), *usage)
         calls = made if calls is None else calls.unionByName(made)
-        cur = called.select("__key", F.col("__group").alias("__seq"), strip(F.col("__answer")).alias("__item"), "__size")
-        if alone is not None:
-            cur = cur.unionByName(alone)
+        cur = called.select("__key", F.col("__group").alias("__seq"), "__item", "__size", *(["__left"] if keyed else []))
+        if keyed:
+            done.append(cur.where("__left = 1").drop("__left"))
+            cur = cur.where("__left > 1")
+    cur = reduce(DataFrame.unionByName, done) if done else cur
     out = cur.select(*([F.col("__key").alias(key)] if key else []), F.concat(F.lit("agg_"), F.substring(F.sha2(F.concat_ws("|", "__key", "__item").cast("binary"), 256), 1, 16)).alias("id"), F.col("__item").alias(output), F.col("__size").alias("aggregated"))
     if calls is None:
         calls = df.sparkSession.createDataFrame([], "key string, level int, group bigint, n_items bigint, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, requests bigint, cost_usd double")

@@ -234,11 +234,11 @@ def _apply(s: Stage, up: DataFrame | None, spark: SparkSession, registry: Regist
         return got.records
     if s.kind == "reduce_ai":
         key = s.spec["key"]
-        up = _numbered(up, id_col)
-        if key:
-            up = with_key_seq(up.withColumnRenamed("_seq", "__o"), key, "__o").drop("__o")
-        else:
-            up = with_seq(up.withColumnRenamed("_seq", "__o"), "__o").drop("__o")
+        # numbered rows are written, so only what is reduced goes along; a name may be quoted or reach into a struct
+        names = [x.lower() for x in (key, s.spec["item"], s.spec["output"]) if x]
+        used = [c for c in up.columns if c != "_seq" and any(x in (c.lower(), f"`{c.lower()}`") or x.startswith(f"{c.lower()}.") for x in names)]
+        up = up.select(*[f"`{c}`" for c in used], F.col("_seq" if "_seq" in up.columns else id_col).alias("__o"))
+        up = (with_key_seq(up, key, "__o") if key else with_seq(up, "__o")).drop("__o")
         model = s.spec["binding"].candidates(registry)[0]
         got, calls = reduce_ai(up, model, s.spec["prompt"], item=s.spec["item"], output=s.spec["output"], fan_in=s.spec["fan_in"], key=key)
         out.attempts[s.name] = calls
